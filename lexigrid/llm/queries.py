@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import bpe, simhash
+from lexigrid.llm import bpe, decontaminate, quality, simhash, substring_dedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op5_decontamination": decontaminate.op5_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE}
