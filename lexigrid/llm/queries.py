@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import bpe, decontaminate, quality, simhash, substring_dedup
+from lexigrid.llm import bpe, decontaminate, quality, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,5 +10,6 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op10_warc": warc.op10_warc,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
