@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import bpe, decontaminate, language_id, quality, simhash, substring_dedup, warc
+from lexigrid.llm import bpe, decontaminate, language_id, quality, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_language_id": language_id.op8_language_id,
     "op10_warc": warc.op10_warc,
 }
