@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import bpe, decontaminate, language_id, quality, simhash, substring_dedup, toxicity, warc
+import corpus_pipeline
+from lexigrid.llm import bpe, decontaminate, html_extract, language_id, quality, secrets, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,7 +12,10 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_language_id": language_id.op8_language_id,
+    "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_warc": warc.op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
