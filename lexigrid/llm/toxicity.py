@@ -39,7 +39,7 @@ C_TOXIC, C_CLEAN = 2e4, 1e6
 #: Weight of the examples with an inserted letter against those without, and the letters put in.
 STRETCHED, LETTERS = 0.5, "xqzkvjwy"
 #: Labelled documents of each class that are fitted on.
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 1000
 CACHE = 400_000
 _DROP = re.compile(r"[^\w\s]+|[\d_]+").sub
 _SPELLED = re.compile(r"(?<!\S)[^\W\d_](?:\s[^\W\d_])+(?!\S)").sub
@@ -119,18 +119,20 @@ class Machine:
 def pick_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     """Words and beginnings of words that stand out in toxic documents, and the commonest clean words."""
 
-    def counted(docs: list[set[str]]) -> Counter:
-        found: Counter = Counter()
-        for d in docs:
-            found.update({w[:n] for w in d for n in (4, 5, 6, 8, len(w)) if 4 <= n <= len(w)})
-        return found
+    def beginnings(d: set[str]) -> set[str]:
+        return {w[:n] for w in d for n in (4, 5, 6, 8, len(w)) if 4 <= n <= len(w)}
 
-    a, b = counted(toxic), counted(clean)
+    a: Counter = Counter()
+    for d in toxic:
+        a.update(beginnings(d))
+    a = Counter({w: n for w, n in a.items() if n >= 3})
+    b: Counter = Counter()
+    for d in clean:
+        b.update(w for w in beginnings(d) if w in a)
     worth = {}
     for w, n in a.items():
-        if n >= 3:
-            p, q = n / len(toxic), (b[w] + 0.5) / (len(clean) + 1)
-            worth[w] = (p - q) / np.sqrt(q + p)
+        p, q = n / len(toxic), (b[w] + 0.5) / (len(clean) + 1)
+        worth[w] = (p - q) / np.sqrt(q + p)
     picked: list[str] = []
     for w in sorted(worth, key=lambda w: (-worth[w], w)):
         if len(picked) == LANDMARKS or worth[w] <= 0.02:
@@ -141,19 +143,27 @@ def pick_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     return picked + [w for w, _ in common.most_common(CLEAN_LANDMARKS) if w not in picked]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by Newton steps on the violators; c: weight of each row."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+def _svm(parts: list[tuple[np.ndarray, float, np.ndarray]], steps: int = 100) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine by Newton steps on the violators.
+
+    parts: (features, label, weight of each row); features are taken up a few thousand rows at a time.
+    """
+    n = parts[0][0].shape[1] + 1
+    w, ridge = np.zeros(n), np.eye(n)
     ridge[-1, -1] = 1e-6
-    for _ in range(steps):
-        out = y * (x @ w) < 1
-        part = x[out] * c[out, None]
-        new = np.linalg.solve(ridge + part.T @ x[out], part.T @ y[out])
+    for step in range(steps):
+        left, right = ridge.copy(), np.zeros(n)
+        for x, y, c in parts:
+            for i in range(0, len(x), 10_000):
+                rows = np.c_[x[i : i + 10_000], np.ones(len(x[i : i + 10_000]))]
+                out = y * (rows @ w) < 1
+                rows, weight = rows[out], c[i : i + 10_000][out]
+                left += (rows * weight[:, None]).T @ rows
+                right += y * (rows.T @ weight)
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
-        w = w + (new - w) * (1.0 if _ < 20 else 0.5)
+        w = w + (new - w) * (1.0 if step < 20 else 0.5)
     return w[:-1], float(w[-1])
 
 
@@ -185,8 +195,9 @@ def _stretched(words: list[str], counts: np.ndarray) -> tuple[list[str], np.ndar
 def train(texts: list[str | None], labels: list[int]) -> Machine:
     """A machine from documents and their labels; without a label of either kind, one that says 0 throughout."""
     y = np.array(labels)
-    sentences = [[set(words_of(s)) for s in _SENTENCE(t or "")] for t in texts]
-    whole = [set().union(*s) if s else set() for s in sentences]
+    # sentences matter in toxic documents; of clean ones every word is clean
+    sentences = [[set(words_of(s)) for s in _SENTENCE(t or "")] if v else [] for t, v in zip(texts, labels, strict=True)]
+    whole = [set().union(*s) if v else set(words_of(t)) for t, s, v in zip(texts, sentences, labels, strict=True)]
     toxic, clean = [w for w, v in zip(whole, y, strict=True) if v], [w for w, v in zip(whole, y, strict=True) if not v]
     marks = pick_landmarks(toxic, clean) if toxic and clean else []
     if not marks:
@@ -196,36 +207,42 @@ def train(texts: list[str | None], labels: list[int]) -> Machine:
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström: kernel values with the landmarks times this
 
     seen = Counter(w for d in clean for w in d)
-    words = sorted(set().union(*whole))
+    every = sorted(set().union(*whole))
+    words, rows_ = [], []  # only words that share a subsequence with a landmark
+    for i in range(0, len(every), 2_000):
+        part = gram(every[i : i + 2_000], marks)
+        live = np.flatnonzero(part.any(axis=1))
+        rows_.append((part[live] @ root).astype(np.float32))
+        words += [every[i + j] for j in live]
+    del every
+    x = np.concatenate(rows_)
+    del rows_
     number = {w: i for i, w in enumerate(words)}
-    x = np.concatenate([gram(words[i : i + 20_000], marks) for i in range(0, len(words), 20_000)]).astype(np.float32)
-    live = np.flatnonzero(x.any(axis=1))
-    spot = np.full(len(words), -1)
-    spot[live] = np.arange(len(live))
-    x = x[live].astype(np.float64) @ root
-    negative = np.array([seen[words[i]] for i in live], float)
+    negative = np.array([seen[w] for w in words], float)
 
     def members(groups: list[set[str]]) -> list[np.ndarray]:
-        found = [np.array([spot[number[w]] for w in g], np.int64) for g in groups]
-        return [f[f >= 0] for f in found if (f >= 0).any()]
+        found = [np.array([number[w] for w in g if w in number], np.int64) for g in groups]
+        return [f for f in found if len(f)]
 
     bags = members([s for doc, v in zip(sentences, y, strict=True) if v for s in doc])
-    positive = np.zeros(len(live))
-    hot = np.bincount(np.concatenate([np.unique(f) for f in members(toxic)]), minlength=len(live))
+    hot = np.bincount(np.concatenate([np.unique(f) for f in members(toxic)]), minlength=len(words))
     lift = (hot + 0.1) / len(toxic) / ((negative + 0.5) / len(clean))
     chosen = [f[lift[f].argmax()] for f in bags]
     chosen = [i for i in chosen if lift[i] > 3]
     w, bias = np.zeros(x.shape[1]), 0.0
     for turn in range(ROUNDS):
-        positive = np.bincount(np.array(chosen, np.int64), minlength=len(live)).astype(float)
+        positive = np.bincount(np.array(chosen, np.int64), minlength=len(words)).astype(float)
         rows = np.flatnonzero(positive)
         others = np.flatnonzero(negative)
-        spread, weight = _stretched([words[live[i]] for i in rows], positive[rows])
-        more = gram(spread, marks) @ root if spread else x[:0]
-        xs = np.concatenate([x[rows], more, x[others], np.zeros((1, x.shape[1]))])
-        ys = np.r_[np.ones(len(rows) + len(more)), -np.ones(len(others) + 1)]
-        cs = np.r_[positive[rows], weight, negative[others], float(len(clean))]
-        w, bias = _svm(xs, ys, np.where(ys > 0, C_TOXIC * cs / positive.sum(), C_CLEAN * np.sqrt(cs) / len(others)))
+        spread, weight = _stretched([words[i] for i in rows], positive[rows])
+        more = np.concatenate([np.zeros((0, x.shape[1])), *(gram(spread[i : i + 2_000], marks) @ root for i in range(0, len(spread), 2_000))])
+        share = C_CLEAN / len(others)
+        w, bias = _svm([
+            (x[rows], 1.0, C_TOXIC * positive[rows] / positive.sum()),
+            (more, 1.0, C_TOXIC * weight / positive.sum()),
+            (x[others], -1.0, share * np.sqrt(negative[others])),
+            (np.zeros((1, x.shape[1])), -1.0, share * np.sqrt([float(len(clean))])),
+        ])
         if turn < ROUNDS - 1:
             f = x @ w + bias
             best = [g[f[g].argmax()] for g in bags]
@@ -238,7 +255,7 @@ def train(texts: list[str | None], labels: list[int]) -> Machine:
     machine = Machine(table_, folded, bias, 1.0, 0.0)
     f = x @ w + bias
     margin = np.array(
-        [max([bias, *f[[s for s in (spot[number[q]] for q in d) if s >= 0]]]) for d in whole]
+        [max([bias, *f[[number[q] for q in d if q in number]]]) for d in whole]
     )
     machine.slope, machine.shift = _logistic(margin, y.astype(float))
     return machine
