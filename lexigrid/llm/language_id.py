@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from lexigrid.llm.common import keyed_text, small_batches, table
 
 ORDER = 4
 #: Documents of each language that are sampled; every CALIBRATION_PART-th is calibrated on, the rest fitted on.
-SAMPLE_DOCS, CALIBRATION_PART = 550, 4
+SAMPLE_DOCS, CALIBRATION_PART = 300, 4
 CACHE, REJECT, UNKNOWN = 400_000, 0.999, "und"
 _WORD = re.compile(r"[^\W\d_]+").findall
 
@@ -42,7 +43,7 @@ def _grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     Contexts shorter than n - 1 at a word's start are filled with the mark.
     """
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    pad = ORDER - 1
+    pad = ORDER
     text = "\x02" * pad + ("\x03" + "\x02" * pad).join(words) + "\x03"
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     of = np.repeat(np.arange(len(words)), sizes + 1)
@@ -110,31 +111,35 @@ def fit(samples: dict[str, list[str]]) -> Models:
     langs = sorted(samples)
     if not langs:
         return Models([], [], [], 0.0)
-    words = {x: [w for t in samples[x] for w in words_of(t)] or ["\x03"] for x in langs}
+    counted = {x: Counter(w for t in samples[x] for w in words_of(t)) or Counter(["\x03"]) for x in langs}
+    words = {x: list(c) for x, c in counted.items()}
+    times = {x: np.fromiter(c.values(), np.int64, len(c)) for x, c in counted.items()}
     alphabet = len({c for ws in words.values() for w in ws for c in w}) + 2
     uniform = 1 / alphabet
-    raw = {x: [_grams(words[x], n) for n in range(1, ORDER + 1)] for x in langs}
     grams, contexts = [], []
     below: dict[str, np.ndarray] = {}
+    own_grams = {x: _grams(words[x], 1) for x in langs}
+    shorter_grams = own_grams
     for n in range(1, ORDER + 1):
-        all_keys = np.unique(np.concatenate([raw[x][n - 1][0] for x in langs]))
-        all_contexts = np.unique(np.concatenate([raw[x][n - 1][1] for x in langs]))
+        longer_grams = {x: _grams(words[x], n + 1) for x in langs} if n < ORDER else {}
+        gram_all = np.concatenate([own_grams[x][0] for x in langs])
+        context_all = np.concatenate([own_grams[x][1] for x in langs])
+        all_keys, all_contexts = np.unique(gram_all), np.unique(context_all)
         probs = np.zeros((len(all_keys), len(langs)))
         weights = np.ones((len(all_contexts), len(langs)))
         # a gram of the union, seen in whichever language: its context and the gram one shorter
-        gram_all = np.concatenate([raw[x][n - 1][0] for x in langs])
         first = np.unique(gram_all, return_index=True)[1]
-        context_of = np.searchsorted(all_contexts, np.concatenate([raw[x][n - 1][1] for x in langs])[first])
+        context_of = np.searchsorted(all_contexts, context_all[first])
         if n > 1:
-            shorter = np.searchsorted(grams[-1][0], np.concatenate([raw[x][n - 2][0] for x in langs])[first])
+            shorter = np.searchsorted(grams[-1][0], np.concatenate([shorter_grams[x][0] for x in langs])[first])
         for j, x in enumerate(langs):
-            gram, context, _ = raw[x][n - 1]
+            gram, _, of = own_grams[x]
             if n == ORDER:
-                seen = gram
+                kinds, inverse = np.unique(gram, return_inverse=True)
+                counts = np.bincount(inverse, times[x][of]).astype(np.int64)
             else:  # how many different characters stand before the gram
-                longer = np.unique(raw[x][n][0], return_index=True)[1]
-                seen = gram[longer]
-            kinds, counts = np.unique(seen, return_counts=True)
+                longer = np.unique(longer_grams[x][0], return_index=True)[1]
+                kinds, counts = np.unique(gram[longer], return_counts=True)
             ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = ones / (ones + 2 * twos) if ones else 0.5
             row = np.searchsorted(all_keys, kinds)
@@ -149,6 +154,7 @@ def fit(samples: dict[str, list[str]]) -> Models:
         below = {x: probs[:, j] for j, x in enumerate(langs)}
         grams.append((all_keys, np.maximum(probs, 1e-12).astype(np.float32)))
         contexts.append((all_contexts, weights.astype(np.float32)))
+        shorter_grams, own_grams = own_grams, longer_grams
     return Models(langs, grams, contexts, uniform)
 
 
