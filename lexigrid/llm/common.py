@@ -76,5 +76,18 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Ids that may be broadcast: 2 million take some 64 MB.
+BROADCAST_ROWS = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` without the rows whose keys are in the staged table ``gone``.
+
+    A list of counted, small size is broadcast, so texts stay where they are; a longer one is joined by a shuffle.
+    """
+    gone = gone.select(*keys)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, keys, "left_anti")
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import stage, table
+from lexigrid.llm.common import stage, table, without
 
 PHRASE, RAREST = 13, 2
 BROADCAST_BYTES = 64 << 20
@@ -183,7 +183,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     bad = contamination(docs, items).where("contaminated and doc_id is not null").select("doc_id", "tid").distinct()
     marked = docs.withColumn("tid", F.xxhash64(F.col("text").cast("string")))
-    return marked.join(bad, ["doc_id", "tid"], "left_anti").select(*docs.columns)
+    return without(marked, stage(bad, "contaminated"), ["doc_id", "tid"]).select(*docs.columns)
 
 
 #: The same rows by plain search: for each window of an item, where it stands in a document's word sequence.

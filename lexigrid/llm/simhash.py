@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, small_batches, stage, table
+from lexigrid.llm.common import keyed_text, small_batches, stage, table, without
 from lexigrid.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -132,6 +132,5 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group stays, that with the smallest doc_id; rows of a null doc_id stay."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    ids = docs.where("doc_id is null")
-    return docs.join(stay, "doc_id", "left_semi").unionByName(ids)
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, stage(gone, "gone"), ["doc_id"]).select(*docs.columns)
