@@ -21,7 +21,7 @@ from lexigrid.llm.common import keyed_text, small_batches, table
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
-#: Texts on which costs and selectivities are measured: those of the least hashes.
+#: Texts on which costs and selectivities are measured.
 SAMPLE_ROWS = 256
 
 
@@ -110,9 +110,11 @@ def first_rejection(text: Text, rules: tuple[Rule, ...]) -> str | None:
 
 
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str | None]:
-    """A bounded sample over the whole table, the same at every run."""
-    picked = docs.withColumn("h", F.xxhash64("text")).orderBy("h").limit(rows)
-    return [r["text"] for r in picked.select("text").collect()]
+    """About ``rows`` texts from all over the table, picked by hash; never more than twice as many."""
+    n = docs.count()
+    share = int((1 << 30) * min(1.0, rows / max(1, n)))
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= share).select("text").limit(2 * rows)
+    return [r["text"] for r in picked.collect()]
 
 
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -152,7 +154,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.  A row is judged where it lies: no join, no shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
-    ordered = order_rules(sample_texts(docs.select("text")), rules)
+    ordered = order_rules(sample_texts(keyed_text(docs)), rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
