@@ -617,7 +617,7 @@ def run_summary(spark, sf):
 
 
 @query("""SELECT d.lang AS page, count(*) AS n, count(*) FILTER (quality = 1) AS n_exact, median(CAST(n_chars AS DOUBLE)) AS median_score, min(CAST(n_chars AS DOUBLE)) AS min_score,
-string_agg(CAST(d.doc_id AS VARCHAR), ',' ORDER BY d.doc_id) FILTER (toxic = 1) AS failing FROM documents d JOIN labels USING (doc_id) GROUP BY 1""")
+coalesce(string_agg(CAST(d.doc_id AS VARCHAR), ',' ORDER BY d.doc_id) FILTER (toxic = 1), '') AS failing FROM documents d JOIN labels USING (doc_id) GROUP BY 1""")
 def audit_by_page(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels"), "doc_id")
     out = reports.audit(rows, "lang", "doc_id", F.col("n_chars").cast("double"), F.col("quality") == 1, F.col("toxic") == 1)

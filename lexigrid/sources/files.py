@@ -36,8 +36,12 @@ SEGMENT = "path string, segment_id string, page_number int, text string, part_na
 
 
 def uploads(spark: SparkSession, path: str, limit: int = MAX_BYTES) -> DataFrame:
+    """The admitted and rejected files of a folder.  Spark's scan itself leaves out files of no bytes."""
+    return admit(spark.read.format("binaryFile").load(path), limit)
+
+
+def admit(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     """(path, name, suffix, length, content, sha256, rejection): rejection is ``empty``, ``too_large`` or null."""
-    files = spark.read.format("binaryFile").load(path)
     bad = F.when(F.col("length") == 0, "empty").when(F.col("length") > limit, "too_large")
     return files.select(
         "path", base_name("path").alias("name"), suffix("path").alias("suffix"), "length",

@@ -101,5 +101,5 @@ def job_progress(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
 
 def page_events(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events of each kind an hour, late ones up to the delay included."""
-    kinds = events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type")
+    kinds = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type")
     return kinds.agg(F.count("*").alias("n")).select(F.col("window.start").alias("started_at"), "event_type", "n")
