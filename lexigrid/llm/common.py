@@ -80,13 +80,27 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 BROADCAST_ROWS = 2_000_000
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """An equality join on keys in which null equals null; the result has the left keys."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = [left[k].eqNullSafe(other[f"_same_{k}"]) for k in keys]
+    return left.join(other, on, how).drop(*(f"_same_{k}" for k in keys))
+
+
 def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """``docs`` without the rows whose keys are in the staged table ``gone``.
 
     A list of counted, small size is broadcast, so texts stay where they are; a longer one is joined by a shuffle.
     """
     gone = gone.select(*keys)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, keys, "left_anti")
+    return join_same(docs, F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, keys, "left_anti")
+
+
+def free_prefix(df: DataFrame, prefix: str = "_own") -> str:
+    """A prefix that no column of ``df`` has, whatever the case: names for columns on the way."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ def _round(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): root is the least node that can be reached; nodes without an edge do not appear.
+    """(node, root) for every node that has an edge to another: root is the least node that can be reached.
 
     An empty edge table gives an empty result; self edges and repeated edges do not matter.
     """
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
         if tuple(seen) == mark or not seen["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         mark, before = tuple(seen), now
         now = stage(_round(before), "edges")
         unstage(before)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import stage, table, without
+from lexigrid.llm.common import free_prefix, join_same, stage, table, without
 
 PHRASE, RAREST = 13, 2
 BROADCAST_BYTES = 64 << 20
@@ -156,7 +156,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = PHRASE, id_col
     named = hits.select("doc_id", "tid", "pid").distinct().join(_sized(found.select("pid", "item_ids"), ["item_ids"]), "pid")
     named = named.groupBy("doc_id", "tid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
     lengths = index.where(F.col("term") == LENGTH_TERM).selectExpr("doc_id", "tid", "pos as n_words")
-    out = lengths.join(marks.drop("cover").join(named, ["doc_id", "tid"]), ["doc_id", "tid"], "left")
+    found = join_same(marks.drop("cover"), named, ["doc_id", "tid"], "inner")
+    out = join_same(lengths, found, ["doc_id", "tid"], "left")
     return out.selectExpr(
         "doc_id",
         "tid",
@@ -181,9 +182,10 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs, items).where("contaminated and doc_id is not null").select("doc_id", "tid").distinct()
-    marked = docs.withColumn("tid", F.xxhash64(F.col("text").cast("string")))
-    return without(marked, stage(bad, "contaminated"), ["doc_id", "tid"]).select(*docs.columns)
+    tid = free_prefix(docs) + "tid"
+    bad = contamination(docs, items).where("contaminated").select("doc_id", F.col("tid").alias(tid)).distinct()
+    marked = docs.withColumn(tid, F.xxhash64(F.col("text").cast("string")))
+    return without(marked, stage(bad, "contaminated"), ["doc_id", tid]).select(*docs.columns)
 
 
 #: The same rows by plain search: for each window of an item, where it stands in a document's word sequence.

@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import table
+from lexigrid.llm.common import free_prefix, table
 
 SHORTEST, THRESHOLD, MASK = 16, 0.5, "[SECRET]"
 #: The bounded training set, the number of trees and their depth.
@@ -184,32 +184,37 @@ def forest_sql(spark: SparkSession, findings: list[dict] | None = None) -> str:
     return _forests["own"]
 
 
-def with_findings(docs: DataFrame, forest: str, text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """``docs`` with ``_candidates`` array<struct<c, b, p>> and ``_secrets`` array<string>, the longest first."""
+def with_findings(docs: DataFrame, forest: str, text_col: str = "text", path_col: str | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with columns for the text, its candidates array<struct<c, b, p>> and secrets array<string>, and their prefix.
+
+    The columns are <prefix>t, <prefix>candidates and <prefix>secrets; secrets stand longest first.
+    """
+    p = free_prefix(docs)
     path = f"coalesce(cast(`{path_col}` as string), '')" if path_col else "''"
-    words = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    words = words.withColumn("_w", F.split("_t", r"\s+"))
-    words = words.withColumn(
-        "_hot",
-        F.expr(f"filter(sequence(0, size(_w) - 1), i -> length(_w[i]) >= {SHORTEST} and _w[i] rlike '[0-9]')"),
-    )
+    words = docs.withColumn(f"{p}t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    words = words.withColumn(f"{p}w", F.split(f"{p}t", r"\s+"))
+    hot = f"filter(sequence(0, size({p}w) - 1), i -> length({p}w[i]) >= {SHORTEST} and {p}w[i] rlike '[0-9]')"
+    words = words.withColumn(f"{p}hot", F.expr(hot))
     # each candidate with what stands before it: two words, and the part of its own word
-    found = f"""filter(flatten(transform(_hot, i -> transform(
-        regexp_extract_all(_w[i], '{_RUN}', 1),
+    found = f"""filter(flatten(transform({p}hot, i -> transform(
+        regexp_extract_all({p}w[i], '{_RUN}', 1),
         c -> named_struct('c', regexp_replace(c, '^[./-]+|[./-]+$', ''),
-            'b', lower(concat_ws(' ', get(_w, i - 2), get(_w, i - 1), substring_index(_w[i], c, 1))), 'p', {path})))),
+            'b', lower(concat_ws(' ', get({p}w, i - 2), get({p}w, i - 1), substring_index({p}w[i], c, 1))), 'p', {path})))),
         x -> length(x.c) >= {SHORTEST} and x.c rlike '[0-9]')"""
-    out = words.withColumn("_candidates", F.expr(f"if(size(_hot) = 0, cast(array() as array<struct<c:string,b:string,p:string>>), {found})"))
-    out = out.withColumn("_scored", F.expr(f"transform(_candidates, x -> named_struct('c', x.c, 'f', {_features()}))"))
-    picked = f"transform(filter(_scored, y -> {forest.replace('f.', 'y.f.')} >= {THRESHOLD}), y -> y.c)"
-    keys = f"if(contains(_t, 'PRIVATE KEY-----'), regexp_extract_all(_t, '{_PEM}', 0), cast(array() as array<string>))"
+    none = "cast(array() as array<struct<c:string,b:string,p:string>>)"
+    out = words.withColumn(f"{p}candidates", F.expr(f"if(size({p}hot) = 0, {none}, {found})"))
+    out = out.withColumn(f"{p}scored", F.expr(f"transform({p}candidates, x -> named_struct('c', x.c, 'f', {_features()}))"))
+    picked = f"transform(filter({p}scored, y -> {forest.replace('f.', 'y.f.')} >= {THRESHOLD}), y -> y.c)"
+    keys = f"if(contains({p}t, 'PRIVATE KEY-----'), regexp_extract_all({p}t, '{_PEM}', 0), cast(array() as array<string>))"
+    out = out.withColumn(f"{p}keys", F.expr(keys))
+    outside = f"filter({picked}, s -> not exists({p}keys, k -> contains(k, s)))"
     longest = "(a, b) -> case when length(a) > length(b) then -1 when length(a) < length(b) then 1 when a < b then -1 when a > b then 1 else 0 end"
-    out = out.withColumn("_secrets", F.expr(f"array_sort(array_distinct(concat({keys}, {picked})), {longest})"))
-    return out.drop("_w", "_hot", "_scored")
+    out = out.withColumn(f"{p}secrets", F.expr(f"array_sort(array_distinct(concat({p}keys, {outside})), {longest})"))
+    return out, p
 
 
-def _redacted() -> str:
-    return f"aggregate(_secrets, _t, (t, s) -> replace(t, s, '{MASK}'))"
+def _redacted(p: str) -> str:
+    return f"aggregate({p}secrets, {p}t, (t, s) -> replace(t, s, '{MASK}'))"
 
 
 def scan(docs: DataFrame, findings: list[dict] | None = None, text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -219,17 +224,17 @@ def scan(docs: DataFrame, findings: list[dict] | None = None, text_col: str = "t
     repeated rows stay repeated; an empty table gives an empty result; columns but those named are ignored.
     """
     keep = [F.col("doc_id"), F.col(text_col).alias("text")] + ([F.col(path_col).alias("path")] if path_col else [])
-    out = with_findings(docs.select(*keep), forest_sql(docs.sparkSession, findings), "text", "path" if path_col else None)
-    return out.selectExpr("doc_id", "cast(size(_candidates) as bigint) as n_candidates", "_secrets as secrets", f"{_redacted()} as redacted")
+    out, p = with_findings(docs.select(*keep), forest_sql(docs.sparkSession, findings), "text", "path" if path_col else None)
+    return out.selectExpr("doc_id", f"cast(size({p}candidates) as bigint) as n_candidates", f"{p}secrets as secrets", f"{_redacted(p)} as redacted")
 
 
 def redact(docs: DataFrame, findings: list[dict] | None = None, path_col: str | None = None) -> DataFrame:
     """``docs`` with every secret masked in ``text``, null texts kept, and ``n_chars``, if there, counted anew."""
-    out = with_findings(docs, forest_sql(docs.sparkSession, findings), "text", path_col)
-    out = out.withColumn("text", F.expr(f"if(text is null, null, {_redacted()})"))
+    out, p = with_findings(docs, forest_sql(docs.sparkSession, findings), "text", path_col)
+    out = out.withColumn("text", F.expr(f"if(text is null, null, {_redacted(p)})"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(f"{p}secrets") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -116,6 +116,10 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
+#: What training gives where nothing toxic can be learned.
+NEVER = Machine(np.zeros(1, np.uint64), np.zeros(1), 0.0, 0.0, -10.0)
+
+
 def pick_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     """Words and beginnings of words that stand out in toxic documents, and the commonest clean words."""
 
@@ -201,7 +205,7 @@ def train(texts: list[str | None], labels: list[int]) -> Machine:
     toxic, clean = [w for w, v in zip(whole, y, strict=True) if v], [w for w, v in zip(whole, y, strict=True) if not v]
     marks = pick_landmarks(toxic, clean) if toxic and clean else []
     if not marks:
-        return Machine(np.zeros(1, np.uint64), np.zeros(1), 0.0, 0.0, -10.0)
+        return NEVER
     values, vectors = np.linalg.eigh(gram(marks, marks))
     keep = values > values.max() * 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström: kernel values with the landmarks times this
@@ -215,7 +219,7 @@ def train(texts: list[str | None], labels: list[int]) -> Machine:
         rows_.append((part[live] @ root).astype(np.float32))
         words += [every[i + j] for j in live]
     del every
-    x = np.concatenate(rows_)
+    x = np.concatenate([np.zeros((0, root.shape[1]), np.float32), *rows_])
     del rows_
     number = {w: i for i, w in enumerate(words)}
     negative = np.array([seen[w] for w in words], float)
@@ -225,10 +229,12 @@ def train(texts: list[str | None], labels: list[int]) -> Machine:
         return [f for f in found if len(f)]
 
     bags = members([s for doc, v in zip(sentences, y, strict=True) if v for s in doc])
-    hot = np.bincount(np.concatenate([np.unique(f) for f in members(toxic)]), minlength=len(words))
+    hot = np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(f) for f in members(toxic))]), minlength=len(words))
     lift = (hot + 0.1) / len(toxic) / ((negative + 0.5) / len(clean))
     chosen = [f[lift[f].argmax()] for f in bags]
     chosen = [i for i in chosen if lift[i] > 3]
+    if not chosen:
+        return NEVER
     w, bias = np.zeros(x.shape[1]), 0.0
     for turn in range(ROUNDS):
         positive = np.bincount(np.array(chosen, np.int64), minlength=len(words)).astype(float)
@@ -236,7 +242,7 @@ def train(texts: list[str | None], labels: list[int]) -> Machine:
         others = np.flatnonzero(negative)
         spread, weight = _stretched([words[i] for i in rows], positive[rows])
         more = np.concatenate([np.zeros((0, x.shape[1])), *(gram(spread[i : i + 2_000], marks) @ root for i in range(0, len(spread), 2_000))])
-        share = C_CLEAN / len(others)
+        share = C_CLEAN / max(1, len(others))
         w, bias = _svm([
             (x[rows], 1.0, C_TOXIC * positive[rows] / positive.sum()),
             (more, 1.0, C_TOXIC * weight / positive.sum()),
