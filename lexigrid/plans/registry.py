@@ -9,7 +9,7 @@ from lexigrid.functions import geometry as g
 from lexigrid.functions import language as lang
 from lexigrid.functions import text as tx
 from lexigrid.functions import unicode_udf as uni
-from lexigrid.operators import glossary, history, provider, reports, responses, routing, segments, similar, spatial
+from lexigrid.operators import glossary, history, layout, provider, reports, responses, routing, segments, similar, spatial
 from lexigrid.plans.inline import fill, frame
 from lexigrid.sources import files
 
@@ -527,6 +527,120 @@ def table_pages(spark, sf):
     return routing.looks_like_table(rows, "page", 600.0, 400.0)
 
 
+# Layout
+
+
+@query("SELECT * FROM (VALUES (1, 'left'), (2, 'center'), (3, 'right'), (4, 'left')) AS t(id, alignment)")
+def alignments(spark, sf):
+    rows = spark.createDataFrame([(1, 2, 0.0, 50.0), (2, 1, 40.0, 62.0), (3, 1, 70.0, 99.0), (4, 1, 0.0, 90.0)], "id int, n int, x0 double, x1 double")
+    box, content = g.box("x0", F.lit(0), "x1", F.lit(10)), g.box(*map(F.lit, (0, 0, 100, 100)))
+    return rows.select("id", layout.alignment(F.col("n"), box, content).alias("alignment"))
+
+
+@query("""WITH d AS (SELECT l_orderkey AS grp, l_quantity AS b, abs(l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey)) AS d FROM lineitem)
+SELECT grp, CASE WHEN count(*) < 2 THEN greatest(10, max(b)) ELSE greatest(10, coalesce(median(d) FILTER (d > 0), 11.5)) END::DOUBLE AS leading FROM d GROUP BY grp""".replace("AS leading", 'AS "leading"'))
+def line_leading(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("grp"), F.struct("l_linenumber", "l_quantity", "l_partkey").alias("o"), F.col("l_quantity").alias("baseline"), F.lit(10.0).alias("font_size"), F.col("l_quantity").alias("height")
+    )
+    return layout.leading(rows, "grp", "o")
+
+
+@query("SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN greatest(1, o_totalprice) ELSE 0 END) * 2 >= sum(greatest(1, o_totalprice)) AS mostly FROM orders GROUP BY 1")
+def majority_flags(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(layout.majority(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("mostly"))
+
+
+@query("SELECT * FROM (VALUES (1, CAST(0 AS DOUBLE), CAST(10 AS DOUBLE)), (2, CAST(2 AS DOUBLE), CAST(8 AS DOUBLE))) AS t(id, x0, x1)")
+def clipped_lines(spark, sf):
+    rows = spark.createDataFrame([(1, -5.0, 5.0, 15.0, 5.0), (2, 2.0, 2.0, 8.0, 8.0), (3, -5.0, -5.0, 15.0, -5.0), (4, 10.2, 0.0, 9.9, 0.0)], "id int, x0 double, y0 double, x1 double, y1 double")
+    cut = layout.clip_line(g.box(*map(F.lit, (0, 0, 10, 10))), *map(F.col, ("x0", "y0", "x1", "y1")))
+    return rows.withColumn("c", cut).where("c is not null").select("id", F.col("c.x0").alias("x0"), F.col("c.x1").alias("x1"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT round(l_quantity, 2), round(l_discount, 2), round(l_tax, 2), l_linenumber FROM lineitem)")
+def line_dedup(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x0"), F.col("l_discount").alias("y0"), F.col("l_tax").alias("x1"), F.col("l_linenumber").cast("double").alias("y1"), F.lit(1.0).alias("width"), "l_orderkey")
+    return layout.distinct_lines(rows, [], "l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT conv_id, text, min(turn) AS m FROM conversations WHERE length(text) <= 120 GROUP BY 1, 2) SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY m) AS INTEGER) AS place, md5(text) AS md5 FROM o""")
+def context_lines(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("score", F.lit(0.9))
+    return layout.context_lines(rows, "conv_id", "turn", "text", "score").select("conv_id", "place", F.md5("text").alias("md5"))
+
+
+@query("SELECT * FROM (VALUES (1, true, false), (2, false, true), (3, true, true), (4, false, false)) AS t(id, credible, confirmed)")
+def gap_filters(spark, sf):
+    rows = spark.createDataFrame([(1, "x", 10.0, True, 0.9), (2, "กขค", 60.0, False, 0.55), (3, "กขค ผนัง", 80.0, False, 0.9), (4, "กกก", 90.0, False, 0.9)], "id int, t string, c double, m boolean, s double")
+    return rows.select("id", layout.gap_is_credible("t", "c", F.col("m")).alias("credible"), layout.reading_is_confirmed("t", "s").alias("confirmed"))
+
+
+@query("SELECT id, greatest(x1 - x0, y1 - y0) / greatest(1, least(x1 - x0, y1 - y0)) >= 3 OR (greatest(x1 - x0, y1 - y0) / greatest(1, least(x1 - x0, y1 - y0)) >= 1.5 AND y1 <= 800 * 0.24) AS ok FROM @boxes")
+def recall_shapes(spark, sf):
+    return boxed(frame(spark, "boxes")).select("id", layout.recall_shape(F.col("bbox"), 800.0).alias("ok"))
+
+
+@query("SELECT * FROM (VALUES (1, CAST(0 AS DOUBLE), CAST(70 AS DOUBLE)), (2, CAST(0 AS DOUBLE), CAST(100 AS DOUBLE))) AS t(id, x0, x1)")
+def barrier_clip(spark, sf):
+    boxes = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 100.0, 10.0), (2, 2, 0, 0.0, 0.0, 100.0, 10.0)], "page int, id int, rotation int, x0 double, y0 double, x1 double, y1 double")
+    bars = spark.createDataFrame([(1, "v", 70.0, -5.0, 20.0), (1, "v", 97.0, -5.0, 20.0), (1, "h", 5.0, 0.0, 100.0), (2, "v", 50.0, 20.0, 40.0)], "page int, axis string, pos double, lo double, hi double")
+    return layout.clip_at_barriers(boxed(boxes), bars, "page", "id").select("id", F.col("bbox.x0").alias("x0"), F.col("bbox.x1").alias("x1"))
+
+
+@query("SELECT * FROM (VALUES (3), (4)) AS t(pos)")
+def recall_additions(spark, sf):
+    kind = "page int, pos int, rotation int, exact boolean, x0 double, y0 double, x1 double, y1 double"
+    new = [(1, 1, 0, False, 0.0, 0.0, 50.0, 10.0), (1, 2, 0, False, 40.0, 1.0, 90.0, 9.0), (1, 3, 90, False, 0.0, 0.0, 50.0, 10.0), (1, 4, 0, True, 40.0, 0.0, 90.0, 10.0), (1, 5, 0, False, 42.0, 0.0, 90.0, 10.0)]
+    old = [(1, 1, 0, False, 0.0, 0.0, 48.0, 10.0)]
+    return layout.recall_additions(spark.createDataFrame(new, kind), spark.createDataFrame(old, kind), "page").select("pos")
+
+
+@query("SELECT * FROM (VALUES (1, 'อาคาร/building', CAST(30 AS DOUBLE)), (3, 'far', CAST(310 AS DOUBLE)), (4, 'x', CAST(10 AS DOUBLE))) AS t(pos, text, y1)")
+def bilingual_merge(spark, sf):
+    rows = [(1, 1, " อาคาร ", "建筑 ", 0.0, 0.0, 50.0, 10.0), (1, 2, "building", "建筑", 5.0, 20.0, 60.0, 30.0), (1, 3, "far", "建筑", 0.0, 300.0, 50.0, 310.0), (1, 4, "x", "", 0.0, 0.0, 50.0, 10.0)]
+    df = spark.createDataFrame(rows, "page int, pos int, text string, translated_text string, x0 double, y0 double, x1 double, y1 double")
+    return layout.merge_bilingual(df, "page", "pos").select("pos", F.replace("text", F.lit("\n"), F.lit("/")).alias("text"), "y1")
+
+
+@query("SELECT * FROM (VALUES (1, 'The long/word-/breaking'), (2, '建筑图纸目录/一'), (3, '')) AS t(id, lines)")
+def wrapped_text(spark, sf):
+    rows = spark.createDataFrame([(1, "The long word-breaking"), (2, "建筑图纸目录一"), (3, " ")], "id int, t string")
+    width = F.when(F.col("id") == 2, F.array_join(layout.wrap_lines(F.col("t"), 6), "/")).otherwise(F.array_join(layout.wrap_lines(F.col("t"), 8), "/"))
+    return rows.select("id", width.alias("lines"))
+
+
+@query("SELECT * FROM (VALUES (1, 1, 'a b', 'x'), (1, 2, 'c', 'y z'), (2, 1, 'a  b', 'x')) AS t(id, part, source, translated)")
+def positioned_parts(spark, sf):
+    return layout.positioned_parts(spark.createDataFrame([(1, "a b   c", "x  y z"), (2, "a  b", "x")], "id int, text string, translated_text string"), "id")
+
+
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, CAST(n // c AS INTEGER) AS sheet, CAST(n % c AS INTEGER) AS sheet_row FROM
+(SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS n, CAST(max(l_linenumber) OVER (PARTITION BY l_returnflag) AS BIGINT) AS c FROM lineitem)""")
+def repacked_rows(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linenumber").alias("capacity"))
+    out = layout.repack_rows(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", "sheet", "sheet_row")
+
+
+@query("SELECT 1 AS req, '{\"segments\":[{\"id\":\"a\",\"text\":\"x\"},{\"id\":\"b\",\"text\":\"y\"}]}' AS payload")
+def request_payloads(spark, sf):
+    rows = spark.createDataFrame([(1, 2, "b", "y"), (1, 1, "a", "x")], "req int, pos int, id string, text string")
+    return layout.request_payload(rows, ["req"], "pos")
+
+
+@query("SELECT conv_id, CAST(count(*) FILTER (role <> 'user') AS BIGINT) AS completed FROM conversations GROUP BY 1")
+def initial_completed(spark, sf):
+    pages = table(spark, sf, "conversations").select("conv_id", F.lit(False).alias("visual"), F.when(F.col("role") == "user", F.lit("x")).alias("text"))
+    return layout.initial_completed(pages, "conv_id")
+
+
+@query("SELECT * FROM (VALUES (1, CAST(7 AS DOUBLE)), (2, CAST(14 AS DOUBLE)), (3, CAST(3.6 AS DOUBLE)), (4, CAST(2 AS DOUBLE))) AS t(id, size)")
+def label_sizes(spark, sf):
+    rows = spark.createDataFrame([(1, 40.0, 1, 2), (2, 40.0, 1, 3), (3, 10.0, 2, 9), (4, 1.0, 1, 9)], "id int, cross double, n int, k int")
+    return rows.select("id", F.round(layout.label_font_size(F.col("cross"), F.col("n"), F.col("k")), 6).alias("size"))
+
+
 # OCR tables and responses
 
 
