@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-from conftest import LONG, rows
+from oddrows import LONG, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

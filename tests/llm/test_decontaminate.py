@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import rows
+from oddrows import rows
 from oracle import both
 
 from lexigrid.llm import decontaminate as dc

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import rows
+from oddrows import rows
 from pyspark.sql import functions as F
 
 from lexigrid.llm import html_extract as hx

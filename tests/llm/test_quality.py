@@ -1,4 +1,4 @@
-from conftest import rows
+from oddrows import rows
 
 from lexigrid.llm import quality as q
 

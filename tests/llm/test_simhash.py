@@ -98,7 +98,7 @@ def test_odd_rows(clashing, empty, odd):
 
 
 def test_fingerprint_of_long_text_is_whole():
-    from conftest import LONG
+    from oddrows import LONG
 
     assert simhash.fingerprint(LONG) == plain_fingerprint(LONG) != simhash.fingerprint(LONG[:1000])
 

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from oddrows import rows
 from pyspark.sql import functions as F
 
 from lexigrid.llm import substring_dedup as sd
