@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, parallelism, small_batches, stage, table
+from lexigrid.llm.common import keyed_text, parallelism, small_batches, stage, table, unstage
 
 WINDOW, GRAM = 50, 8
 #: Window starts of a span; words of a group of trees; spans of a tree before its prefix is lengthened.
@@ -216,7 +216,9 @@ def repeats(docs: DataFrame, tree_spans: int = TREE_SPANS) -> DataFrame:
     spark = docs.sparkSession
     every = stage(spans(docs), "spans")
     shared = every.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    met = every.join(shared.select("k"), "k")
+    # written, so that folding starts anew: spans of one very common passage combine before they are dealt out
+    met = stage(every.join(shared.select("k"), "k"), "met")
+    unstage(every)
     path = ["k", "h1", "h2", "size"]
     folded = met.groupBy(*path).agg(F.min(F.struct("doc_id", "tid", "at")).alias("rep"))
     folded = stage(folded, "paths")
