@@ -29,6 +29,8 @@ FILE_BYTES = 32 << 20
 BLOCK = 1 << 20
 #: Smaller payloads are always written in full.
 REVISIT_BYTES = 100
+#: Digests that may be broadcast: half a million take some 64 MB.
+BROADCAST_DIGESTS = 500_000
 #: No record may be longer: a Content-Length beyond it fails the check.
 RECORD_BYTES = 1 << 30
 # The markers of the two formats.
@@ -330,11 +332,12 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     first = small.where(f"n >= {REVISIT_BYTES} and page_id is not null").groupBy("payload_digest").agg(
         F.min("page_id").alias("first"), F.count("*").alias("copies")
     )
-    # only digests met twice can change anything
-    out = own.join(first.where("copies > 1").select("payload_digest", "first"), "payload_digest", "left")
-    again = F.col("first") < F.col("page_id")
-    return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn(
-        "refers_to", F.when(again, F.col("first"))
+    # only digests met twice can change anything; few of them need no shuffle of the payloads
+    again = stage(first.where("copies > 1").select("payload_digest", "first"), "digests")
+    out = own.join(F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again, "payload_digest", "left")
+    later = F.col("first") < F.col("page_id")
+    return out.withColumn("record_type", F.when(later, "revisit").otherwise("response")).withColumn(
+        "refers_to", F.when(later, F.col("first"))
     )
 
 
