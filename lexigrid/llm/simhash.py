@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, small_batches, stage, table, without
+from lexigrid.llm.common import keyed_text, parallelism, small_batches, stage, table, without
 from lexigrid.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -90,6 +90,8 @@ def _variants(points: DataFrame, level: int, width: int) -> DataFrame:
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) over the column ``fp`` that connect what a chain of links of 3 bits or fewer connects."""
+    # few bytes, but 64 rows each later on: dealt out before they grow
+    distinct = distinct.repartition(parallelism(distinct.sparkSession))
     edges, points = None, distinct.select("fp", F.col("fp").alias("rest"))
     for level, width in enumerate((64, 32, 16)):
         keys = [f"k{n}" for n in range(level + 1)]
