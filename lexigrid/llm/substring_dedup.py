@@ -216,13 +216,14 @@ def repeats(docs: DataFrame, tree_spans: int = TREE_SPANS) -> DataFrame:
     spark = docs.sparkSession
     every = stage(spans(docs), "spans")
     shared = every.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    # written, so that folding starts anew: spans of one very common passage combine before they are dealt out
-    met = stage(every.join(shared.select("k"), "k"), "met")
+    # both written: a join of plain scans can be split where one passage is very common, and its spans then combine
+    # before they are dealt out
+    met = stage(every.join(stage(shared.select("k"), "shared"), "k"), "met")
     unstage(every)
     path = ["k", "h1", "h2", "size"]
     folded = met.groupBy(*path).agg(F.min(F.struct("doc_id", "tid", "at")).alias("rep"))
     folded = stage(folded, "paths")
-    width = folded.groupBy("k").agg(F.count("*").alias("n"))
+    width = stage(folded.groupBy("k").agg(F.count("*").alias("n")), "widths")
     folded = folded.join(width, "k")
     one = folded.where("n = 1").selectExpr(
         *path, f"cast(array(struct(0 as a, size as z, rep.doc_id as first)) as {_RUNS}) as runs"
