@@ -248,7 +248,8 @@ def repeats(docs: DataFrame, tree_spans: int = TREE_SPANS) -> DataFrame:
             F.collect_list(F.expr("struct(i as a, i + 1 as z, least as first)")).cast(_RUNS).alias("runs")
         )
         nodes = nodes.unionByName(own)
-    return met.join(nodes.dropDuplicates(path), path).select("doc_id", "tid", "at", "runs")
+    nodes = stage(nodes.dropDuplicates(path), "nodes")  # as above: a path that very many documents share is split
+    return met.join(nodes, path).select("doc_id", "tid", "at", "runs")
 
 
 def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
