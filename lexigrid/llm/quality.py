@@ -165,4 +165,25 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), stats=True)
-    return out.select("doc_id", *_STATS, "base_failed", "kept", "rejected_by")
+    return out.select("doc_id", *_STATS, "base_failed", "kept")
+
+
+#: The same rows in SQL; every rule is asked of every text.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY 1, 2),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT g.doc_id, unnest(range(i, i + 5)) AS j FROM g JOIN c USING (doc_id, g) WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
+      WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
+      length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS caps
+      FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > 3 * n_words
+  OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR (n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines)
+  OR 2 * letters < word_chars OR 2 * caps > letters) AS kept FROM b
+"""

@@ -18,4 +18,4 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}

@@ -1,6 +1,8 @@
 from oddrows import rows
+from oracle import both
 
 from lexigrid.llm import quality as q
+from lexigrid.llm import queries
 
 
 def plain(text):
@@ -61,3 +63,8 @@ def test_labelled_quality(spark, docs, small):
     good = [k for k, y, base in got if y == 1 and not base]
     bad = [k for k, y, base in got if y == 0]
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_query_and_sql(spark):
+    a, b = both(spark, queries.QUERIES["op4_quality_rules"], queries.ORACLES["op4_quality_rules"])
+    assert a == b
