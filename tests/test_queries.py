@@ -33,3 +33,14 @@ def test_engine_does_not_import_the_training_data_package():
             for f in files:
                 if f.endswith(".py"):
                     assert not re.search(r"lexigrid\.llm|from \.llm", open(os.path.join(d, f)).read()), f
+
+
+def test_sequence_similarity_compares_whole_texts(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    texts = ["ab" * 40 + "กาข", "x" * 60 + "ผนัง ก่", "short", "", None, "palindromes " * 7 + " อาคาร"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: (r.ratio, r.thai) for r in registry.QUERIES["sequence_similarity"](spark, str(tmp_path)).collect()}
+    whole = [t or "" for t in texts]
+    want = {i: (SequenceMatcher(None, t, t[::-1], autojunk=False).ratio(), "".join(c for c in t if "฀" <= c <= "๿")) for i, t in enumerate(whole)}
+    assert got == want
