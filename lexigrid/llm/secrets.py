@@ -1,9 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all in DataFrame operations.
 
-A candidate is a run of at least ``SHORTEST`` token characters with a digit, or a private-key block, which needs no
-forest.  Features: length, shares of character classes, class changes and common letter pairs between neighbours, the
-share covered by dictionary words, the path the text comes from and paths inside the candidate, and the words before
-it.  The forest is fitted by Spark ML on labelled findings and then written out as SQL, so that scanning is one
+A candidate is a run of at least ``SHORTEST`` token characters with a digit; a run of any length that starts as known
+secrets do; what is assigned to a name with a telling word, of any length and characters; or a private-key block, which
+needs no forest.  Features: length, shares of character classes, class changes and common letter pairs between
+neighbours, the share covered by dictionary words, the path the text comes from and paths inside the candidate, and the
+words before it.  The forest is fitted by Spark ML on labelled findings and then written out as SQL, so that scanning is one
 projection over each row: no shuffle, no join, nothing but the row in memory.
 
 The labelled findings come from a seeded generator of real-looking secrets and of what is taken for secrets: commit
@@ -47,11 +48,39 @@ DICTIONARY = (
 )
 LETTER_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce"
 PREFIXES = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_(live|test)_|sk-|eyJ|AIza|ya29[.]|SG[.]|npm_|pypi-)"
+#: Words of phrases people use as passwords, for the generator only.
+PHRASE = (
+    "correct horse battery staple orbit lemon velvet tiger marble canyon pickle walnut rocket saddle thunder maple copper "
+    "puzzle falcon garlic ribbon anchor breeze cactus dragon ember fossil goblin hammer iguana jungle kettle lantern magnet "
+    "nectar oyster pepper quartz raven shovel turnip umbrella violin whisper yogurt zebra monkey summer winter hunter purple"
+)
 TELLING = "key|token|secret|passw|pwd|auth|bearer|credential|api|private|access"
 HARMLESS = "sha[0-9]|sha\\\\b|commit|hash|checksum|uuid|digest|md5|revision|version|isbn|doi|session|build|etag|\\\\bid\\\\b|http|www|@|order|phone|tel"
 MOCK_PATH = "test|example|sample|mock|fixture|demo"
 _RUN = "([A-Za-z0-9+/_.-]{%d,}={0,2})" % SHORTEST
-_PEM = "-----BEGIN[A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\\\s]+-----END[A-Z ]*PRIVATE KEY-----"
+# Groups repeat possessively, which Java does in a loop; else long texts overflow its stack.
+_KNOWN = "(?<![A-Za-z0-9])" + PREFIXES[1:] + "[A-Za-z0-9+/_.-]*={0,2}"
+_NAME = r"(?i:%s)[A-Za-z0-9_.-]*+[\"'`\])\\]*+\s*+(?::\s*[A-Za-z_][A-Za-z0-9_.\[\]]*+\s+=(?!=)|:=|=>|={1,3}|:)" % TELLING
+_END = r"[&,;][A-Za-z_][A-Za-z0-9_.-]*+=|[\"'`][,;:)}\]>\s]|</|<br|(?i:%s)[A-Za-z0-9_.-]*+[\"'`\])\\]*+[:=]|\s|\z" % TELLING
+_QUOTED = r"(\"{3}|'{3}|\\?[\"'`])(?:(?!\3)(?:\\.|[^\r\n]))*+\3"
+#: Group 1 is the name and the assignment, group 2 the value, which is only looked at: another name may stand in it.
+_ASSIGNED = rf"((?:{_NAME}|\b(?i:bearer|basic)(?=\s))\s*+(?:[bru]{{1,2}}(?=[\"']))?+)(?=({_QUOTED}|\S+?(?={_END})))"
+#: What is taken off the end of a value without quotes.
+STRIPPED = "\"'`,;:)]}>.\\"
+_BEGIN, _CLOSE = (f"-----{x}[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----" for x in ("BEGIN", "END"))
+_GAP = r"(?:[\s\"'+>]|\\[nrt])"
+# headers such as DEK-Info stand on a line each, or one after the other where line ends were lost
+_HEADERS = r"(?:[A-Za-z][A-Za-z0-9-]*+:(?:(?:(?!-----)[^\r\n\\])*+(?:[\r\n]|\\[nr])|[ \t]*+[^\s\\]++(?:[ \t]++\(?[Vv]?[0-9.(][^\s-]*+)*+\s)%s*+)*+" % _GAP
+_LAST = r"(?:[A-Za-z0-9+/]*+={1,2}(?![A-Za-z0-9=])|=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/])|[A-Za-z0-9+/]++(?=\s*+\z))"
+_LINES = rf"(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}(?:{_GAP}++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{_GAP}++{_LAST})?|{_LAST})"
+#: A block to its end line, or one that was cut off, as far as its lines go.
+_PEM = rf"{_BEGIN}(?:{_GAP}*+{_HEADERS}[A-Za-z0-9+/=\s\\\"'>]++{_CLOSE}|{_GAP}*+{_HEADERS}{_LINES})"
+
+
+def _lit(pattern: str) -> str:
+    """A pattern as a SQL literal."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
 
 def _feature_sql() -> dict[str, str]:
@@ -79,6 +108,10 @@ def _feature_sql() -> dict[str, str]:
         "harmless": f"regexp_count(x.b, '{HARMLESS}')",
         "assigned": "cast(x.b rlike '[=:][^A-Za-z0-9]*$' as int)",
         "mock": f"regexp_count(lower(x.p), '{MOCK_PATH}')",
+        "quoted": f"cast(x.b rlike {_lit(chr(91) + chr(34) + chr(39) + chr(96) + ']$')} as int)",
+        "signs": f"regexp_count(x.c, {_lit('[^A-Za-z0-9+/_.= -]')}) / {n}",
+        "spaces": f"regexp_count(x.c, {_lit(chr(92) + 's')})",
+        "code": f"regexp_count(x.c, {_lit('[({<' + chr(92) + '[]|[$%][A-Za-z{(]|[*]{3}|::|->|://')})",
     }
 
 
@@ -135,9 +168,71 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[dict]:
             ]
         )()
 
+    phrase, signs = PHRASE.split(), "!@#$%^&*?+~"
+    names = ["password", "passwd", "pwd", "secret", "token", "api_key", "auth", "key", "credential", "access_key", "private_key"]
+    leet = str.maketrans("aeiost", "43105+")
+
+    def assigned(quoted: bool) -> str:
+        return r.choice(names) + r.choice(["", "", '"' if quoted else ""]) + r.choice([" = ", "=", ": ", ":", " := "]) + (r.choice("\"'") if quoted else "")
+
+    def password() -> tuple[str, str]:
+        """A secret that is known by what it is assigned to, or by how it starts."""
+        quoted = r.random() < 0.5
+        w = lambda: r.choice(phrase) if r.random() < 0.8 else word()
+        c = r.choice(
+            [
+                lambda: w() + pick(string.digits, r.randint(1, 4)) + r.choice(["", w(), r.choice(signs)]),
+                lambda: w().capitalize() + pick(string.digits, r.randint(1, 4)) + r.choice(["", pick(signs, r.randint(1, 2))]),
+                lambda: w().capitalize().translate(leet) + r.choice(signs) + pick(string.digits, 1) + pick(alnum + signs, r.randint(1, 4)),
+                lambda: w().translate(leet) + pick(signs + string.digits, r.randint(1, 3)),
+                lambda: r.choice(["-", "_", "-", " " if quoted else "-"]).join(w() for _ in range(r.randint(3, 5))),
+                lambda: pick(alnum, r.randint(8, 20)),
+                lambda: pick(alnum + signs, r.randint(8, 24)),
+                lambda: pick(string.ascii_letters, r.randint(10, 40)),
+                lambda: pick(string.ascii_letters + signs, r.randint(8, 24)),
+                lambda: pick(string.ascii_lowercase, r.randint(12, 32)),
+                lambda: pick("0123456789abcdef", r.randint(10, 24)),
+            ]
+        )()
+        if r.random() < 0.12:
+            c = r.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase, 16)
+            return c, r.choice([f"{word()} {word()} ", f"{word()} key ", assigned(False)])
+        return c, assigned(quoted)
+
+    def plain() -> tuple[str, str]:
+        """What is assigned to such names and is no secret."""
+        quoted = r.random() < 0.5
+        some = lambda a, b: r.choices(dictionary, k=r.randint(a, b))
+        one = lambda: r.choice(dictionary + phrase)
+        c = r.choice(
+            [
+                lambda: r.choice(["none", "null", "true", "false", "undefined", "required", "optional", "string", "str", "int", "bytes", "nil", "default", "redacted", "secret", "disabled"]),
+                lambda: one(),
+                lambda: one().capitalize(),
+                lambda: word() if r.random() < 0.5 else word().capitalize(),
+                lambda: r.choice("-_.").join(some(2, 4)),
+                lambda: "".join(w.capitalize() for w in some(2, 4)),
+                lambda: " ".join(some(3, 9)) if quoted else one() + r.choice(["s", "ed", "ing"]),
+                lambda: pick(string.digits, r.randint(1, 7)) + r.choice(["", "", ".5", "px", "%", "ms"]),
+                lambda: f"2{r.randint(100, 999)}-0{r.randint(1, 9)}-{r.randint(10, 28)}",
+                lambda: pick(alnum + signs, r.randint(1, 4)),
+                lambda: r.choice(["os.environ[", "getenv(", "config.get(", "request.form[", "self.", "get_token(", "vault.read(", "settings."]) + r.choice(["'", ""]) + r.choice([str.upper, str])("_".join(some(1, 2))) + r.choice(["", "')", "']"]),
+                lambda: r.choice([".", "_", ".", "::", "->"]).join(some(1, 3)) + r.choice("([") + r.choice(["'", '"', ""]) + r.choice([str.upper, str])(r.choice("_-").join(some(1, 3))) + r.choice(["", "')", "']", ")"]),
+                lambda: r.choice(["${%s}", "$(%s)", "{{ %s }}", "$%s", "<%s>", "%%(%s)s", "{%s}", "[%s]"]) % "_".join(some(1, 3)).upper(),
+                lambda: r.choice(["******", "***", "...", "xxxxxxxx", "changeme", "your_password_here", "your-token", "example", "<your-key>", "placeholder", "dummy_value"]),
+                lambda: r.choice(["https://", "http://", "/", "./"]) + "/".join(some(2, 4)) + r.choice(["", ".pem", ".html", ".json"]),
+            ]
+        )()
+        if r.random() < 0.05:
+            return r.choice(["sk-", "npm_", "gho_"]) + r.choice(["-", "_"]).join(some(1, 3)), f"{word()} {word()} "
+        return c if quoted else (c.rstrip(STRIPPED).split() or [c])[0], assigned(quoted)
+
     out = []
     for i in range(n):
-        c, b = secret() if i % 2 else harmless()
+        if r.random() < 0.4:
+            c, b = password() if i % 2 else plain()
+        else:
+            c, b = secret() if i % 2 else harmless()
         path = f"{word()}/{word()}.{r.choice(['py', 'txt', 'md', 'html'])}"
         label, mocked = i % 2, r.random() < 0.06
         if mocked:  # findings in mock data are not secrets
@@ -196,20 +291,35 @@ def with_findings(docs: DataFrame, forest: str, text_col: str = "text", path_col
     hot = f"filter(sequence(0, size({p}w) - 1), i -> length({p}w[i]) >= {SHORTEST} and {p}w[i] rlike '[0-9]')"
     words = words.withColumn(f"{p}hot", F.expr(hot))
     # each candidate with what stands before it: two words, and the part of its own word
+    before = f"lower(concat_ws(' ', get({p}w, i - 2), get({p}w, i - 1), substring_index({p}w[i], c, 1)))"
     found = f"""filter(flatten(transform({p}hot, i -> transform(
         regexp_extract_all({p}w[i], '{_RUN}', 1),
-        c -> named_struct('c', regexp_replace(c, '^[./-]+|[./-]+$', ''),
-            'b', lower(concat_ws(' ', get({p}w, i - 2), get({p}w, i - 1), substring_index({p}w[i], c, 1))), 'p', {path})))),
+        c -> named_struct('c', regexp_replace(c, '^[./-]+|[./-]+$', ''), 'b', {before}, 'p', {path})))),
         x -> length(x.c) >= {SHORTEST} and x.c rlike '[0-9]')"""
     none = "cast(array() as array<struct<c:string,b:string,p:string>>)"
-    out = words.withColumn(f"{p}candidates", F.expr(f"if(size({p}hot) = 0, {none}, {found})"))
+    words = words.withColumn(f"{p}runs", F.expr(f"if(size({p}hot) = 0, {none}, {found})"))
+    known = f"""flatten(transform(filter(sequence(0, size({p}w) - 1), i -> {p}w[i] rlike {_lit(_KNOWN)}), i -> transform(
+        regexp_extract_all({p}w[i], {_lit(_KNOWN)}, 0),
+        c -> named_struct('c', regexp_replace(c, '[./-]+$', ''), 'b', {before}, 'p', {path}))))"""
+    words = words.withColumn(f"{p}known", F.expr(f"if({p}t rlike {_lit(_KNOWN)}, {known}, {none})"))
+    # the name with the assignment and its quote, and the value without quotes and what closes a phrase
+    quote, closed = _lit(r"^(\"{3}|'{3}|\\?[\"'`])"), _lit(r"(?s)^(\"{3}|'{3}|\\?[\"'`])(.*)\1$")
+    bare = f"regexp_replace(regexp_replace(v, {_lit(r'^[\"' + chr(39) + '`]+')}, ''), {_lit(r'[\"' + chr(39) + r'`,;:)\]}>.\\]+$')}, '')"
+    value = f"if(v rlike {closed}, regexp_replace(v, {closed}, '$2'), {bare})"
+    given = f"""zip_with(regexp_extract_all({p}t, {_lit(_ASSIGNED)}, 1), regexp_extract_all({p}t, {_lit(_ASSIGNED)}, 2),
+        (b, v) -> named_struct('c', {value}, 'b', lower(concat(b, regexp_extract(v, {quote}, 1))), 'p', {path}))"""
+    words = words.withColumn(f"{p}given", F.expr(f"if({p}t rlike {_lit(_ASSIGNED)}, {given}, {none})"))
+    more = f"array_distinct(filter(concat({p}known, {p}given), x -> not contains('{MASK}', x.c) and not exists({p}runs, y -> y.c = x.c)))"
+    out = words.withColumn(f"{p}candidates", F.expr(f"if(size({p}known) + size({p}given) = 0, {p}runs, concat({p}runs, {more}))"))
     out = out.withColumn(f"{p}scored", F.expr(f"transform({p}candidates, x -> named_struct('c', x.c, 'f', {_features()}))"))
     picked = f"transform(filter({p}scored, y -> {forest.replace('f.', 'y.f.')} >= {THRESHOLD}), y -> y.c)"
-    keys = f"if(contains({p}t, 'PRIVATE KEY-----'), regexp_extract_all({p}t, '{_PEM}', 0), cast(array() as array<string>))"
-    out = out.withColumn(f"{p}keys", F.expr(keys))
-    outside = f"filter({picked}, s -> not exists({p}keys, k -> contains(k, s)))"
+    keys = f"if(contains({p}t, 'PRIVATE KEY'), regexp_extract_all({p}t, {_lit(_PEM)}, 0), cast(array() as array<string>))"
     longest = "(a, b) -> case when length(a) > length(b) then -1 when length(a) < length(b) then 1 when a < b then -1 when a > b then 1 else 0 end"
-    out = out.withColumn(f"{p}secrets", F.expr(f"array_sort(array_distinct(concat({p}keys, {outside})), {longest})"))
+    out = out.withColumn(f"{p}all", F.expr(f"array_sort(array_distinct(concat({keys}, {picked})), {longest})"))
+    # what stands only inside longer secrets is no secret of its own
+    start = f"named_struct('t', {p}t, 's', cast(array() as array<string>))"
+    fold = f"(y, s) -> if(contains(y.t, s), named_struct('t', replace(y.t, s, '{MASK}'), 's', concat(y.s, array(s))), y)"
+    out = out.withColumn(f"{p}secrets", F.expr(f"aggregate({p}all, {start}, {fold}, y -> y.s)"))
     return out, p
 
 
