@@ -80,6 +80,17 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 BROADCAST_ROWS = 2_000_000
 
 
+#: Bytes of a table that may be broadcast, by its own count of rows or bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame, row_bytes: int = 0, total: int | None = None) -> DataFrame:
+    """A staged table, broadcast only if it is small as counted; else joined by a shuffle."""
+    if total is None:
+        total = df.count() * (row_bytes + 16)
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """An equality join on keys in which null equals null; the result has the left keys."""
     other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})

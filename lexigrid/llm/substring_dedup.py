@@ -1,36 +1,41 @@
 """Exact substring dedup by prefix-partitioned suffix trees.
 
-Which suffixes meet.  A suffix belongs to the tree of the variable-length prefix that ends with the least hashed
-``GRAM``-word gram of its first ``WINDOW`` words.  The choice depends on those words alone, so equal windows always
-fall to the same tree, and neighbouring suffixes mostly fall to one tree too: they travel together as a span, about one
-for 22 words of text.
-
-What is left out safely.  A prefix met in one document only can hold no repeat between documents.  Equal spans are one
-path in the tree, so they are folded, with the smallest document id, by a combining aggregate before anything is
-gathered.  Trees are packed into groups of at most ``GROUP_WORDS`` words; a prefix with more than ``TREE_SPANS``
-different spans is split by lengthening its prefix to all ``WINDOW`` words, where each subtree is one aggregate row.
-
-The tree.  Suffixes are ordered by prefix doubling, depth 1, 2, 4 ... up to ``WINDOW``; runs of suffixes equal to that
-depth are the subtrees under the deep internal nodes.  Each gets its smallest document, and a window is a repeat if
-that document is smaller than its own.
+Candidates.  Only suffixes that can lie under a node WINDOW words deep with two documents below it go into a tree.  Each
+window of WINDOW words has one least hashed gram of GRAM words, the same in every document, so a window whose gram is
+met in one document only is out.  Neighbouring windows mostly share their gram and are held as one span; equal spans
+are folded by a combining aggregate, with their smallest document, so copies reach the trees once.
+
+Partition.  Each suffix of the folded spans is a row: the hashes of its words 1-8, 9-22, 23-36 and 37-50, its span and
+that span's smallest document.  Suffixes are dealt to trees by their prefix.  A prefix of 8 words with more than
+``PREFIX_SUFFIXES`` suffixes grows to 22 words, then 36, then 50; what is dealt to one task are about
+``GROUP_SUFFIXES`` suffixes of whole prefixes, so a task's trees fit in its memory at any size of the corpus.  Below a
+prefix of 50 words that is still too common there is only one node, and its smallest document is an aggregate.
+
+Tree.  A task orders its suffixes (suffix array), takes the depth that each shares with the one before it (LCP array),
+and makes the internal nodes from the intervals of suffixes that share a depth.  The nodes WINDOW words deep are the
+repeats; a suffix starts one if the smallest document below its node is smaller than its own.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, parallelism, small_batches, stage, table, unstage
+from lexigrid.llm.common import keyed_text, parallelism, sized, small_batches, stage, table, unstage
 
 WINDOW, GRAM = 50, 8
-#: Window starts of a span; words of a group of trees; spans of a tree before its prefix is lengthened.
-SPAN, GROUP_WORDS, TREE_SPANS = 64, 1_000_000, 4096
+#: Words of a prefix, as it grows; the last is the depth of the nodes that are sought.
+DEPTHS = (8, 22, 36, WINDOW)
+#: Window starts of a span; suffixes that one task orders; suffixes of a prefix before it grows.
+SPAN, GROUP_SUFFIXES, PREFIX_SUFFIXES = 64, 500_000, 4096
+#: Rows that a Python worker hands back at a time.
+OUT_ROWS = 100_000
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(WINDOW + 1)], np.uint64)
 
 
@@ -67,22 +72,28 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(starts, pieces) + at * SPAN, np.minimum(np.repeat(sizes, pieces) - at * SPAN, SPAN)
 
 
+class _Blocks:
+    """Hashes of any run of words of one document, from running sums."""
+
+    def __init__(self, hashes: np.ndarray):
+        odd, n = 0x5851F42D4C957F2D, len(hashes)
+        power = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(odd))], dtype=np.uint64)
+        self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(pow(odd, -1, 1 << 64)))], dtype=np.uint64)
+        self.total = np.r_[np.uint64(0), np.cumsum(hashes * power[:-1], dtype=np.uint64)]
+
+    def hashes(self, start: np.ndarray, size) -> np.ndarray:
+        return _mix((self.total[start + size] - self.total[start]) * self.inverse[start])
+
+
 def _spans_of(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(prefix key, start, length, two content hashes) of the spans of one document of WINDOW words or more."""
+    """(gram key, start, length, two content hashes) of the spans of one document of WINDOW words or more."""
     n = len(hashes) - GRAM + 1
     grams = np.zeros(n, np.uint64)
     for i in range(GRAM):
         grams += hashes[i : i + n] * _ODD[i]
     key = _least(_mix(grams), WINDOW - GRAM + 1)
     start, size = _runs(key)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), np.uint64(0x5851F42D4C957F2D))], dtype=np.uint64)
-    inverse = np.cumprod(
-        np.r_[np.uint64(1), np.full(len(hashes), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64)))], dtype=np.uint64
-    )
-    contents = []
-    for h in (hashes, _mix(hashes)):
-        total = np.r_[np.uint64(0), np.cumsum(h * power[:-1], dtype=np.uint64)]
-        contents.append(_mix((total[start + size + WINDOW - 1] - total[start]) * inverse[start]))
+    contents = [_Blocks(h).hashes(start, size + WINDOW - 1) for h in (hashes, _mix(hashes))]
     return key[start], start, size, *contents
 
 
@@ -115,105 +126,115 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, _SPAN_SCHEMA.format(kind))
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of the spans asked for, from the texts that hold them first."""
-    names = ["k", "h1", "h2", "size", "first", "words"]
-    for b in batches:
-        rows: list[list] = [[] for _ in names]
-        for text, first, asked in zip(*(b.column(c).to_pylist() for c in ("text", "doc_id", "asked")), strict=True):
-            hashes = _hashes(_words(text))
-            for x in asked:
-                words = hashes[x["at"] : x["at"] + x["size"] + WINDOW - 1]
-                for col, v in zip(rows, (x["k"], x["h1"], x["h2"], x["size"], first, words.tobytes()), strict=True):
-                    col.append(v)
-        kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
+_LEVELS = [f"p{i}" for i in range(len(DEPTHS))]
 
 
-def deep_nodes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each suffix start, the number of its subtree at depth WINDOW, in suffix order.
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each suffix of the spans asked for, from the texts that hold them first."""
 
-    Names of depth 2d come from the pair of names of depth d, so their order is that of the suffixes.
-    """
-    name = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    def made(b: pa.RecordBatch, rows: list[int], cols: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        which = pa.array(np.repeat(rows, [len(c[0]) for c in cols]))
+        sid, at, *parts = (np.concatenate(x) for x in zip(*cols, strict=True))
+        arrays = [pa.array(sid, pa.int64()), pa.array(at, pa.int32()), b.column("doc_id").take(which)]
+        return pa.RecordBatch.from_arrays(arrays + [pa.array(x.view(np.int64)) for x in parts], ["sid", "i", "first", *_LEVELS])
 
-    def doubled(name: np.ndarray, by: int) -> np.ndarray:
-        return np.unique(name[:-by] * (int(name.max()) + 1) + name[by:], return_inverse=True)[1]
-
-    depth = 1
-    while 2 * depth <= WINDOW:
-        name = doubled(name, depth)
-        depth *= 2
-    if depth < WINDOW:
-        name = doubled(name, WINDOW - depth)
-    return name[starts]
-
-
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by prefix: packs whole prefixes into groups of GROUP_WORDS, and gives each span's repeats."""
-    held: list[pa.RecordBatch] = []
-    words = 0
-
-    def solve(part: pa.Table) -> pa.RecordBatch:
-        size, first = part["size"].to_numpy(), part["first"].to_numpy()
-        text = np.concatenate([np.frombuffer(x, np.uint64) for x in part["words"].to_pylist()])
-        begin = np.cumsum(np.r_[0, size[:-1] + WINDOW - 1])
-        start = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        node = deep_nodes(text, start)
-        least = np.full(node.max() + 1, np.iinfo(np.int64).max, np.int64)
-        np.minimum.at(least, node, np.repeat(first, size))
-        own, out, at = least[node], [], 0
-        for n in size:
-            mine = own[at : at + n]
-            cut = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-            end = np.r_[cut[1:], n]
-            out.append([{"a": int(a), "z": int(z), "first": int(f)} for a, z, f in zip(cut, end, mine[cut], strict=True)])
-            at += n
-        runs = pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32()), ("first", pa.int64())])))
-        return pa.RecordBatch.from_arrays(
-            [part[c].combine_chunks() for c in ("k", "h1", "h2", "size")] + [runs], ["k", "h1", "h2", "size", "runs"]
-        )
-
-    for b in batches:
-        held.append(b)
-        words += sum(len(x) // 8 for x in b.column("words").to_pylist())
-        if words >= GROUP_WORDS:
-            whole = pa.Table.from_batches(held)
-            k = whole["k"].to_numpy()
-            if k[0] != k[-1]:
-                done = int(np.flatnonzero(k != k[-1])[-1]) + 1
-                yield solve(whole.slice(0, done))
-                rest = whole.slice(done)
-                held = rest.to_batches()
-                words = sum(len(x) // 8 for x in rest["words"].to_pylist())
-    if held and sum(map(len, held)):
-        yield solve(pa.Table.from_batches(held))
-
-
-def _window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full-depth prefixes of a span, for prefixes with very many spans: a row for each suffix."""
     for b in batches:
-        cols: list[list] = [[] for _ in range(7)]
-        for k, h1, h2, size, first, raw in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
-            for i in range(size):
-                d = hashlib.blake2b(raw[8 * i : 8 * (i + WINDOW)], digest_size=16).digest()
-                w1, w2 = np.frombuffer(d, np.int64).tolist()
-                for col, v in zip(cols, (k, h1, h2, size, i, w1, w2), strict=True):
-                    col.append(v)
-        first = pa.array(np.repeat(b.column("first").to_numpy(), b.column("size").to_numpy()), pa.int64())
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(cols, kinds, strict=True)] + [first],
-            ["k", "h1", "h2", "size", "i", "w1", "w2", "first"],
-        )
-
-
-_RUNS = "array<struct<a:int,z:int,first:bigint>>"
+        rows, cols, n = [], [], 0
+        for r, (text, asked) in enumerate(zip(b.column("text").to_pylist(), b.column("asked").to_pylist(), strict=True)):
+            blocks = _Blocks(_hashes(_words(text)))
+            size = np.array([x["size"] for x in asked])
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            start = at + np.repeat([x["at"] for x in asked], size)
+            parts = [blocks.hashes(start + a, z - a) for a, z in zip((0, *DEPTHS), DEPTHS, strict=False)]
+            rows.append(r)
+            cols.append((np.repeat([x["sid"] for x in asked], size), at, *parts))
+            n += len(at)
+            if n >= OUT_ROWS:
+                yield made(b, rows, cols)
+                rows, cols, n = [], [], 0
+        if n:
+            yield made(b, rows, cols)
+
+
+def suffix_array(prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes given as rows of block hashes, and how many words each shares with the one before it."""
+    order = np.lexsort(prefixes.T[::-1])
+    rows = prefixes[order]
+    same = np.cumprod(rows[1:] == rows[:-1], axis=1).sum(axis=1)
+    return order, np.r_[0, np.array([0, *DEPTHS])[same]]
+
+
+def internal_nodes(shared: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, starts, ends) of the intervals of two suffixes or more that share a prefix, for each depth, from the root.
+
+    An interval of one depth lies inside one of the depth before: that is the node above it.
+    """
+    out = []
+    for depth in DEPTHS:
+        starts = np.flatnonzero(shared < depth)
+        ends = np.r_[starts[1:], len(shared)]
+        many = ends - starts > 1
+        out.append((depth, starts[many], ends[many]))
+    return out
 
 
-def repeats(docs: DataFrame, tree_spans: int = TREE_SPANS) -> DataFrame:
-    """(doc_id, tid, at, runs): for spans shared between documents, runs [a, z) of windows and their first document."""
-    spark = docs.sparkSession
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, a, z): the suffixes [a, z) of a span that start a repeat which a smaller document has too."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    group = pa.Table.from_batches(held)
+    del held
+    order, shared = suffix_array(np.stack([group[c].to_numpy() for c in _LEVELS], axis=1))
+    rank = pc.rank(group["first"].combine_chunks(), sort_keys="ascending", tiebreaker="dense").to_numpy()[order]
+    _, starts, ends = internal_nodes(shared)[-1]
+    later = np.zeros(len(order), bool)
+    for a, z in zip(starts.tolist(), ends.tolist(), strict=True):
+        own = rank[a:z]
+        later[a:z] = own > own.min()
+    hit = order[later]
+    yield _joined(group["sid"].to_numpy()[hit], group["i"].to_numpy()[hit])
+
+
+def _joined(sid: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+    """Runs of neighbouring suffixes of a span."""
+    order = np.lexsort((i, sid))
+    sid, i = sid[order], i[order]
+    starts = np.flatnonzero(np.r_[True, (sid[1:] != sid[:-1]) | (i[1:] != i[:-1] + 1)]) if len(sid) else np.zeros(0, int)
+    ends = np.r_[starts[1:], len(sid)] if len(sid) else starts
+    arrays = [pa.array(sid[starts], pa.int64()), pa.array(i[starts], pa.int32()), pa.array(i[ends - 1] + 1, pa.int32())]
+    return pa.RecordBatch.from_arrays(arrays, ["sid", "a", "z"])
+
+
+def repeat_starts(suffixes: DataFrame, prefix_suffixes: int = PREFIX_SUFFIXES, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+    """(sid, a, z) from staged suffix rows: grows prefixes until their suffixes fit, deals them out, builds the trees."""
+    spark, left, dealt = suffixes.sparkSession, suffixes, None
+    for level in range(len(DEPTHS)):
+        prefix = _LEVELS[: level + 1]
+        sizes = left.groupBy(*prefix).agg(F.count("*").alias("n"))
+        wide = stage(sizes.where(f"n > {prefix_suffixes}").select(*prefix), "wide")
+        none = wide.isEmpty()
+        fit = left if none else left.join(sized(wide, 8 * len(prefix)), prefix, "left_anti")
+        fit = fit.select("sid", "i", "first", *_LEVELS, F.xxhash64(*prefix).alias("prefix"))
+        dealt = fit if dealt is None else dealt.unionByName(fit)
+        left = None if none else left.join(sized(wide, 8 * len(prefix)), prefix, "left_semi")
+        if none:
+            break
+    groups = max(parallelism(spark), suffixes.count() // group_suffixes + 1)
+    found = dealt.repartition(groups, "prefix").drop("prefix").mapInArrow(_trees, "sid long, a int, z int")
+    if left is None:
+        return found
+    left = stage(left, "common")  # its nodes are one prefix each: a plain join that can be split where one is very common
+    nodes = stage(left.groupBy(*_LEVELS).agg(F.min("first").alias("least")), "nodes")
+    below = left.join(nodes, _LEVELS).where("least < first").select("sid", F.col("i").alias("a"), F.expr("i + 1 as z"))
+    return found.unionByName(below)
+
+
+_RUNS = "array<struct<a:int,z:int>>"
+
+
+def repeats(docs: DataFrame, prefix_suffixes: int = PREFIX_SUFFIXES, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+    """(doc_id, tid, at, runs): runs [a, z) of the windows from word ``at`` on that a smaller document has too."""
     every = stage(spans(docs), "spans")
     shared = every.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     # both written: a join of plain scans can be split where one passage is very common, and its spans then combine
@@ -222,34 +243,25 @@ def repeats(docs: DataFrame, tree_spans: int = TREE_SPANS) -> DataFrame:
     unstage(every)
     path = ["k", "h1", "h2", "size"]
     folded = met.groupBy(*path).agg(F.min(F.struct("doc_id", "tid", "at")).alias("rep"))
-    folded = stage(folded, "paths")
-    width = stage(folded.groupBy("k").agg(F.count("*").alias("n")), "widths")
-    folded = folded.join(width, "k")
-    one = folded.where("n = 1").selectExpr(
-        *path, f"cast(array(struct(0 as a, size as z, rep.doc_id as first)) as {_RUNS}) as runs"
-    )
-    asked = folded.where("n > 1").selectExpr(
-        "rep.doc_id", "rep.tid", "struct(k, h1, h2, size, rep.at as at, n) as x"
-    )
-    asked = asked.groupBy("doc_id", "tid").agg(F.collect_list("x").alias("asked"))
-    words = docs.join(asked, ["doc_id", "tid"]).select("doc_id", "text", "asked")
-    cut = stage(words.mapInArrow(_cut_out, "k long, h1 long, h2 long, size int, first long, words binary"), "cut")
-    wide = width.where(f"n > {tree_spans}").select("k")
-    total = cut.agg(F.sum(F.length("words"))).first()[0] or 0
-    groups = max(parallelism(spark), int(total / 8 / GROUP_WORDS) + 1)
-    few = cut.join(wide, "k", "left_anti").repartition(groups, "k").sortWithinPartitions("k")
-    trees = few.mapInArrow(_trees, f"k long, h1 long, h2 long, size int, runs {_RUNS}")
-    nodes = one.unionByName(trees)
-    if not wide.isEmpty():
-        schema = "k long, h1 long, h2 long, size int, i int, w1 long, w2 long, first long"
-        named = stage(cut.join(wide, "k").mapInArrow(_window_names, schema), "windows")
-        least = named.groupBy("w1", "w2").agg(F.min("first").alias("least"))
-        own = named.join(least, ["w1", "w2"]).groupBy(*path).agg(
-            F.collect_list(F.expr("struct(i as a, i + 1 as z, least as first)")).cast(_RUNS).alias("runs")
-        )
-        nodes = nodes.unionByName(own)
-    nodes = stage(nodes.dropDuplicates(path), "nodes")  # as above: a path that very many documents share is split
-    return met.join(nodes, path).select("doc_id", "tid", "at", "runs")
+    folded = stage(folded.withColumn("sid", F.monotonically_increasing_id()), "paths")
+    # a gram with a single different span has no other suffix to meet
+    several = stage(folded.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "several")
+    asked = folded.join(several, "k").select("rep.doc_id", "rep.tid", F.expr("struct(sid, rep.at as at, size) as x"))
+    asked = stage(asked.groupBy("doc_id", "tid").agg(F.collect_list("x").alias("asked")), "asked")  # no more than the text
+    small = asked.agg(F.sum(64 + 16 * F.size("asked"))).first()[0] or 0
+    texts = docs.join(sized(asked, total=small), ["doc_id", "tid"]).select("doc_id", "text", "asked")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"sid long, i int, first {kind}, " + ", ".join(f"{c} long" for c in _LEVELS)
+    suffixes = stage(texts.mapInArrow(_suffixes, schema), "suffixes")
+    later = repeat_starts(suffixes, prefix_suffixes, group_suffixes)
+    later = stage(later.groupBy("sid").agg(F.collect_list(F.struct("a", "z")).cast(_RUNS).alias("later")), "repeats")
+    unstage(suffixes)
+    nodes = folded.join(later, "sid", "left").select(*path, F.col("rep.doc_id").alias("first"), "later")
+    nodes = stage(nodes, "nodes")  # as above: a path that very many documents share is split
+    # an equal span starts in a smaller document; else only where a tree says so
+    whole = f"cast(array(struct(0 as a, size as z)) as {_RUNS})"
+    runs = F.expr(f"if(first < doc_id, {whole}, coalesce(later, cast(array() as {_RUNS})))")
+    return met.join(nodes, path).select("doc_id", "tid", "at", runs.alias("runs")).where("size(runs) > 0")
 
 
 def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,27 +284,29 @@ def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, tree_spans: int = TREE_SPANS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, prefix_suffixes: int = PREFIX_SUFFIXES, group_suffixes: int = GROUP_SUFFIXES
+) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the text without words under a window that an earlier document has.
 
-    Rows with a null doc_id are neither earlier nor trimmed; null texts have no words; rows of one doc_id never
-    remove each other's words; an empty table gives an empty result; columns but doc_id and text are ignored.
+    doc_id may be of any type that Spark orders.  Rows with a null doc_id are neither earlier nor trimmed; null and empty
+    texts have no words; rows of one doc_id never remove each other's words, and rows alike in both id and text give one
+    row each; texts of any length are read whole, a row at a time; an empty table gives an empty result; columns but
+    doc_id and text are ignored.
     """
     small_batches(docs.sparkSession)
     docs = keyed_text(docs).withColumn("tid", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    covers = (
-        repeats(docs, tree_spans)
-        .withColumn("runs", F.expr("filter(runs, r -> r.first < doc_id)"))
-        .where("size(runs) > 0")
-        .withColumn("runs", F.expr(f"transform(runs, r -> struct(at + r.a as a, at + r.z + {WINDOW - 1} as z))"))
-        .groupBy("doc_id", "tid")
-        .agg(F.flatten(F.collect_list("runs")).alias("cover"))
-    )
-    marked = docs.join(covers, ["doc_id", "tid"], "left").select("doc_id", "text", "cover")
+    covers = repeats(docs, prefix_suffixes, group_suffixes)
+    covers = covers.withColumn("runs", F.expr(f"transform(runs, r -> struct(at + r.a as a, at + r.z + {WINDOW - 1} as z))"))
+    covers = covers.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("runs")).alias("cover"))
+    covers = stage(covers, "covers")
+    small = covers.agg(F.sum(64 + 8 * F.size("cover"))).first()[0] or 0
+    marked = docs.join(sized(covers, total=small), ["doc_id", "tid"], "left").select("doc_id", "text", "cover")
     return marked.mapInArrow(_trim, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents: words, words removed, and the digest of those kept.  Odd rows as in remove_repeats."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -30,10 +30,14 @@ def ours(df, **k):
     return sorted(repr(tuple(r)) for r in sd.remove_repeats(df, **k).collect())
 
 
-@pytest.mark.parametrize("spans", [sd.TREE_SPANS, 1])
-def test_against_a_dictionary_of_windows(spark, docs, spans):
+#: As in production; every prefix grown to its end; many small groups of trees.
+SHAPES = [{}, {"prefix_suffixes": 0}, {"prefix_suffixes": 3, "group_suffixes": 50}]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_against_a_dictionary_of_windows(spark, docs, shape):
     want = plain([(r.doc_id, r.text) for r in docs.collect()])
-    assert ours(docs, tree_spans=spans) == want
+    assert ours(docs, **shape) == want
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -49,8 +53,20 @@ def test_planted_repeats(spark, seed, monkeypatch):
         made.append((d, " ".join(text)))
     r.shuffle(made)
     df = spark.createDataFrame(made, "doc_id long, text string")
-    assert ours(df) == plain(made)
-    assert ours(df, tree_spans=1) == plain(made)
+    for shape in SHAPES:
+        assert ours(df, **shape) == plain(made)
+
+
+def test_shuffled_joins(spark, docs, monkeypatch):
+    monkeypatch.setattr("lexigrid.llm.common.BROADCAST_BYTES", -1)
+    assert ours(docs, prefix_suffixes=20) == plain([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_string_ids(spark, docs):
+    named = docs.where("doc_id is not null").withColumn("doc_id", F.format_string("d%09d", "doc_id"))
+    got = {r.doc_id: (r.n_removed, r.kept) for r in sd.remove_repeats(named).collect()}
+    plain_rows = {f"d{r.doc_id:09d}": r for r in sd.remove_repeats(docs.where("doc_id is not null")).collect()}
+    assert got == {k: (r.n_removed, r.kept) for k, r in plain_rows.items()}
 
 
 def test_odd_rows(clashing, empty):
@@ -59,18 +75,20 @@ def test_odd_rows(clashing, empty):
     assert sd.remove_repeats(empty).count() == 0
 
 
-def test_depth_nodes_are_equal_windows():
+def test_internal_nodes_are_shared_prefixes():
     import numpy as np
 
     r = np.random.default_rng(1)
-    words = r.integers(0, 2, 400).astype(np.uint64)
-    words[200:300] = words[20:120]
-    starts = np.arange(350)
-    node = sd.deep_nodes(words, starts)
-    windows = [tuple(words[s : s + 50]) for s in starts]
-    order = np.argsort(node, kind="stable")
-    assert [windows[i] for i in order] == sorted(windows)
-    assert len(set(windows)) == len(set(node.tolist()))
+    rows = r.integers(0, 3, (400, len(sd.DEPTHS))).astype(np.uint64)
+    order, shared = sd.suffix_array(rows)
+    ordered = [tuple(x) for x in rows[order].tolist()]
+    assert ordered == sorted(map(tuple, rows.tolist()))
+    for level, (depth, starts, ends) in enumerate(sd.internal_nodes(shared), 1):
+        assert depth == sd.DEPTHS[level - 1]
+        want = {}
+        for x in ordered:
+            want[x[:level]] = want.get(x[:level], 0) + 1
+        assert {ordered[a][:level]: int(z - a) for a, z in zip(starts, ends)} == {k: n for k, n in want.items() if n > 1}
 
 
 def test_one_passage_in_every_document(spark):
