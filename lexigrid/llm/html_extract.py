@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from lexigrid.llm.common import small_batches, table
 
 # Element names of HTML, by what they do to text.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "select")
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr br img input button".split()
@@ -41,10 +42,20 @@ ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav "
     "ol p pre section table ul".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+#: Elements that begin and end a block; all others, unknown and foreign ones too, stand inside one.
+BLOCK = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset "
+    "figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link listing "
+    "main menu meta nav noframes ol optgroup option p plaintext pre search section summary table tbody td tfoot th "
+    "thead tr ul xmp".split()
+) | frozenset(RAW)
+#: Elements nested deeper are read as if they were not there; their text is kept.
+DEPTH = 512
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"(/?)([a-zA-Z][^\s/>\"']{0,40})((?:\s[^>\"']{0,200})?)>")
+_MARK = re.compile(r"[>\"']")
+_RAW_END = {t: re.compile(rf"</{t}(?![\w-])", re.I) for t in RAW}
+_HUGE = re.compile(r"&#([0-9]{8,})").sub
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+").findall
 _SPACE = re.compile(r"\s+").sub
@@ -67,19 +78,64 @@ def _element(name: str, attributes: str) -> tuple[str, frozenset[str]]:
     return name, frozenset(own)
 
 
+class _Tags:
+    """Finds where tags end.  Quotes hide what is between them; a quote that is not closed is a plain character.
+
+    Where the rest of a tag leads from a quote on is remembered, so all tags of a page are found in one pass over it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.ends: dict[int, int] = {}
+        self.marked = (0, -1)  # from here to there is no mark
+
+    def _mark(self, at: int) -> int:
+        low, high = self.marked
+        if not low <= at <= high:
+            m = _MARK.search(self.page, at)
+            self.marked = (at, m.start() if m else len(self.page))
+        return self.marked[1]
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at ``at``; -1 if there is none."""
+        seen, page, end = [], self.page, -1
+        while at <= self.last:
+            i = self._mark(at)
+            if i in self.ends or i == len(page):
+                end = self.ends.get(i, -1)
+                break
+            if page[i] == ">":
+                end = i
+                break
+            seen.append(i)
+            close = page.find(page[i], i + 1)
+            at = (close if close >= 0 else i) + 1
+        self.ends.update(dict.fromkeys(seen, end))
+        return end
+
+
+def _decoded(text: str) -> str:
+    """Character references as characters, one space for white space; numbers of any length stay numbers."""
+    if "&#" in text:
+        text = _HUGE(lambda m: "&#" + (m[1].lstrip("0") or "0")[:8], text)
+    return _SPACE(" ", html.unescape(text)).strip()
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page with text, in order.  Broken markup never raises: what can't be a tag is text."""
     page = page or ""
     stack: list[tuple[str, frozenset[str]]] = []
+    opened: Counter = Counter()
     out: list[Block] = []
     parts: list[str] = []
     linked = links = at = 0
     held: tuple[str, ...] | None = None
+    tags = _Tags(page)
 
     def flush():
         nonlocal linked, held
         if parts:
-            text = _SPACE(" ", html.unescape("".join(parts))).strip()
+            text = _decoded("".join(parts))
             if text:
                 out.append(Block(text, held or (), linked))
             parts.clear()
@@ -94,49 +150,75 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(text)
 
+    def close(i: int):
+        nonlocal links
+        for n, _ in stack[i:]:
+            opened[n] -= 1
+            links -= n == "a"
+        del stack[i:]
+
+    begin = 0  # of text that is not added yet
     while True:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
+        lt = page.find("<", at)
+        if lt < 0 or lt > tags.last:
+            add(page[begin:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            add(page[begin:lt])
+            begin = at = end + 3 if end >= 0 else len(page)
             continue
+        if page[lt + 1 : lt + 2] in ("!", "?"):
+            add(page[begin:lt])
+            begin = at = page.find(">", lt) + 1
+            continue
+        m = _PLAIN.match(page, lt + 1)  # most tags
+        if m:
+            gt, rest = m.end() - 1, m[3]
+        else:
+            m = _NAME.match(page, lt + 1)
+            gt = tags.end(m.end()) if m else -1
+            if gt < 0:
+                at = lt + 1
+                continue
+            rest = page[m.end() : gt]
+        add(page[begin:lt])
+        begin = at = gt + 1
         name = m[2].lower()
         if m[1]:
-            if name not in INLINE:
+            if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
-                if stack[i][0] in FENCES and (name in INLINE or name in ("p", "li")):
+                if stack[i][0] in FENCES and (name not in BLOCK or name in ("p", "li")):
                     break
             continue
-        if name not in INLINE:
+        foreign = opened["svg"] or opened["math"]
+        if name in BLOCK and not foreign:
             flush()
         elif name == "br":
             parts.append(" ")
-        if name in _RAW_END:
-            if not m[3].endswith("/"):
+        if name in RAW:
+            if not rest.endswith("/"):
                 end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
+                begin = at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or rest.endswith("/"):
             continue
         closes = CLOSED_BY.get(name, frozenset()) | (frozenset({"p"}) if name in ENDS_P else frozenset())
-        if closes:
+        if any(opened[x] for x in closes):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in closes:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in FENCES:
                     break
-        stack.append(_element(name, m[3]))
-        links += name == "a"
+        if len(stack) < DEPTH:
+            stack.append(_element(name, rest))
+            opened[name] += 1
+            links += name == "a"
     flush()
     return out
 
@@ -160,7 +242,7 @@ def features(found: list[Block]) -> list[list[str]]:
         ]
         if i == 0 or i == len(found) - 1:
             own.append("edge")
-        low = b.text[:200].lower()
+        low = b.text.lower()
         if "©" in low or "copyright" in low or "all rights" in low:
             own.append("rights")
         if "cookie" in low or "subscribe" in low or "sign up" in low or "newsletter" in low:
@@ -315,7 +397,15 @@ def labelled_page(r: random.Random) -> tuple[str, str]:
     r.shuffle(end)
     body = article()
     wrap = r.choice(["article", "article", "article", "main", "div class=content", "div id=article", "div class=post", "section class=entry"])
-    body = f"<{wrap}>{body}</{wrap.split()[0]}>"
+    bare = r.random()
+    if bare < 0.1:  # layouts that name nothing
+        body = f"<div>{body}</div>" if bare < 0.06 else body
+    elif bare < 0.25:
+        rows = r.choice(["", f"<tr><td colspan=2><a href='/'>{_sentence(r)[:12]}</a></td></tr>"])
+        side = r.choice(["", f"<td width=150><ul>{links(r.randint(2, 6))}</ul></td>", f"<td><a href='/a'>{_sentence(r)[:9]}</a><br><a href='/b'>{_sentence(r)[:9]}</a></td>"])
+        body = f"<table>{rows}<tr>{side}<td>{body}</td></tr></table>"
+    else:
+        body = f"<{wrap}>{body}</{wrap.split()[0]}>"
     foot = f"<{(t := r.choice(['footer', 'footer', 'div class=footer']))}>" + r.choice(["&copy; ", "", "&copy; 2020 &middot; "]) + f"{prose(r.randint(1, 2))}</{t.split()[0]}>"
     head = f"<head><title>{_sentence(r)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head>"
     page = f"<!DOCTYPE html><html>{head}<body>{''.join(top)}{body}{''.join(end)}{foot if r.random() < 0.9 else ''}"
