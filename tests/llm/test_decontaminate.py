@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 from oddrows import rows
 from oracle import both
@@ -65,16 +66,47 @@ def test_odd_rows(spark, clashing, empty):
     assert {r.doc_id for r in kept.collect()} == want
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "zeta one two eta"), (2, "zeta a b c d e f g h eta"), (3, "zeta eta")], "doc_id long, text string")
-    it = spark.createDataFrame([(1, "zeta x y eta")], "item_id long, text string")
-    w = dc._document_words(docs, "doc_id", "text")
-    p = dc.phrases_of(it)
-    found = dc.lookups(p, spark.createDataFrame([("zeta", 1), ("eta", 2), ("x", 50), ("y", 50)], "term string, n long"))
-    keys = spark.createDataFrame([("zeta", True), ("eta", False)], "term string, main boolean")
-    index = dc.build_index(w, keys)
-    assert [r.doc_id for r in dc.proximity_matches(index, found, 2).orderBy("doc_id").collect()] == [1, 3]
-    assert dc.exact_matches(index, found).count() == 0
+def near(docs, items, slop=3, misses=3):
+    """Item ids for which, from a start to which two of the three rarest terms lead, nearly all words are met."""
+    split = [(d, words(t)) for d, t in docs]
+    counts = Counter(x for _, w in split for x in w)
+    out = {}
+    for item, t in items:
+        w = words(t)
+        for i in range(max(1, len(w) - 12)) if w and item is not None else ():
+            p = w[i : i + 13]
+            rare = sorted(set(p), key=lambda x: counts[x])[:3]
+            for d, text in split:
+                at = {x: [j for j, y in enumerate(text) if y == x] for x in set(p)}
+                starts = {j - p.index(x) for x in rare for j in at[x]}
+                for s in starts:
+                    led = sum(any(abs(j - p.index(x) - s) <= slop for j in at[x]) for x in rare)
+                    met = sum(any(abs(j - o - s) <= slop for j in at[x]) for o, x in enumerate(p))
+                    if led >= min(2, len(rare)) and met >= len(p) - misses and 2 * met > len(p):
+                        out.setdefault(d, set()).add(str(item))
+    return out
+
+
+def test_near_items(spark):
+    base = [f"w{i}" for i in range(13)]
+    swap = lambda *at: " ".join("zz" if i in at else x for i, x in enumerate(base))
+    texts = [
+        (1, " ".join(base)), (2, swap(4)), (3, swap(1, 5, 9)), (4, swap(1, 5, 9, 11)), (5, " ".join(base[:6] + ["in", "side"] + base[6:])),
+        (6, " ".join(base[:6] + ["a"] * 9 + base[6:])), (7, " ".join(reversed(base))), (8, "x " + swap(0, 12)), (9, None), (10, "w1 w2"),
+    ]
+    # three terms are rarer than the rest, and in one document one of them is missing
+    texts += [(20 + i, " ".join(base[3:])) for i in range(3)]
+    items = [(1, " ".join(base)), (2, "w1 w2"), (3, "none of these")]
+    df, it = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: set(r.near_items) for r in dc.contamination(df, it).collect() if r.near_items}
+    assert got == near(texts, items)
+    assert {"1"} <= got[1] and {"1"} <= got[2] and {"1"} <= got[5] and "1" not in got.get(6, ())
+
+
+def test_shuffled_joins(spark, docs, monkeypatch):
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 0)
+    a, b = both(spark, queries.QUERIES["op5_decontamination"], queries.ORACLES["op5_decontamination"])
+    assert a == b
 
 
 def test_digest_is_of_sorted_strings():
