@@ -10,6 +10,7 @@ up to ``CACHE`` of them.  Vocabulary and merges are broadcast; their size is tha
 from __future__ import annotations
 
 import hashlib
+import uuid
 import heapq
 import json
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lexigrid.llm.common import keyed_text, small_batches, table
+from lexigrid.llm.common import keyed_text, slices, table
 
 SHORT = 48
 CACHE = 400_000
@@ -183,7 +184,7 @@ class Encoder:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_workers: dict[int, Encoder] = {}
+_workers: dict[str, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
@@ -196,7 +197,7 @@ def _encoder(shared) -> Encoder:
 
 class _Shared:
     def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, id(broadcast)
+        self.broadcast, self.id = broadcast, uuid.uuid4().hex  # no later broadcast can have it
 
     @property
     def value(self) -> Vocabulary:
@@ -207,11 +208,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>): the tokens of every whole text.  Null texts have none."""
     docs = keyed_text(docs)
     shared = _Shared(docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path)))
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
-        for b in batches:
+        for b in slices(batches):
             ids = [np.frombuffer(x, "<i4") for x in e.encode_batch(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -221,7 +221,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give an empty text."""
     shared = _Shared(encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(path)))
-    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
@@ -236,15 +235,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each text and decodes its ids, in one pass.
 
-    Null and empty texts have no token; repeated rows stay repeated; an empty table gives an empty result.
+    Null and empty texts have no token; texts of any length are read whole; of pairs of equal rank the first is joined;
+    repeated rows stay repeated; an empty table gives an empty result; columns but doc_id and text are ignored.
     """
     docs = keyed_text(docs)
     shared = _Shared(docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path)))
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, sha = _encoder(shared), hashlib.sha256
-        for b in batches:
+        for b in slices(batches):
             ids = e.encode_batch(b.column("text").to_pylist())
             back = [e.decode(x).encode() for x in ids]
             arrays = [
@@ -266,4 +265,5 @@ def vocabulary_path() -> str:
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents, encoded and decoded.  Odd rows as in round_trip_digests."""
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())

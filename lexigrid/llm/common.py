@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-#: Rows handed to a Python worker at a time where rows hold whole texts.
-TEXT_ROWS_PER_BATCH = 500
+#: What a Python worker takes up at a time where rows hold whole texts.  Spark bounds the bytes of the batches it sends.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 500
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; an own one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (all in one process) gets a folder of its own; a cluster is an error.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not there:
         there = spark.sparkContext.getCheckpointDir()
     if not there:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\[]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: the master is {master}")
         there = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         spark.sparkContext.setCheckpointDir(there)
         there = spark.sparkContext.getCheckpointDir()
@@ -62,9 +73,20 @@ def _clean() -> None:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
-    """Bound the memory of Python workers: whole texts go over in batches of few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a worker takes up SLICE_BYTES of a column and SLICE_ROWS rows at a time, or one larger row."""
+    for b in batches:
+        col = b.column(column)
+        sized_ = pa.types.is_string(col.type) or pa.types.is_binary(col.type) or pa.types.is_large_string(col.type)
+        size = pc.fill_null(pc.binary_length(col), 0).to_pylist() if sized_ else [0] * b.num_rows
+        at = held = 0
+        for i, n in enumerate(size):
+            if i > at and (held + n > SLICE_BYTES or i - at == SLICE_ROWS):
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < b.num_rows:
+            yield b.slice(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +98,6 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-#: Ids that may be broadcast: 2 million take some 64 MB.
-BROADCAST_ROWS = 2_000_000
-
-
 #: Bytes of a table that may be broadcast, by its own count of rows or bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -101,10 +119,30 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
 def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """``docs`` without the rows whose keys are in the staged table ``gone``.
 
-    A list of counted, small size is broadcast, so texts stay where they are; a longer one is joined by a shuffle.
+    A list of few bytes, as counted, is broadcast, so texts stay where they are; a longer one is joined by a shuffle.
     """
     gone = gone.select(*keys)
-    return join_same(docs, F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, keys, "left_anti")
+    width = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(32))
+    return join_same(docs, sized(gone, total=gone.agg(F.sum(width)).first()[0] or 0), keys, "left_anti")
+
+
+def least_hashed(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """(doc_id, label, rank from 1): of each value of ``label`` the ``n`` different doc_ids of the least hash.
+
+    Labels are counted first, and only ids below a hash that some four times ``n`` of them fall under are brought
+    together: the driver ranks about that many for each label, at any size of the table.
+    """
+    spark, whole = rows.sparkSession, 1 << 40
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
+    sizes = stage(rows.groupBy(label).agg(F.count("*").alias("n")), "labels")
+    below = rows.join(sized(sizes, 64), label).where(h < F.lit(float(whole) * 4 * n) / F.col("n"))
+    found = below.select("doc_id", label, h.alias("h")).distinct().collect()
+    ranked: dict = {}
+    for r in sorted(found, key=lambda r: (r["h"], str(r["doc_id"]))):
+        ranked.setdefault(r[label], []).append(r["doc_id"])
+    kept = [(d, value, i) for value, ids in ranked.items() for i, d in enumerate(ids[:n], 1)]
+    schema = rows.select("doc_id", label).schema.add("rank", IntegerType())
+    return spark.createDataFrame(kept, schema)
 
 
 def free_prefix(df: DataFrame, prefix: str = "_own") -> str:

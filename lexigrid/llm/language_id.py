@@ -21,20 +21,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, small_batches, table
+from lexigrid.llm.common import keyed_text, least_hashed, slices, table
 
 ORDER = 4
 #: Documents of each language that are sampled; every CALIBRATION_PART-th is calibrated on, the rest fitted on.
 SAMPLE_DOCS, CALIBRATION_PART = 300, 4
 CACHE, REJECT, UNKNOWN = 400_000, 0.999, "und"
+#: Words of the pieces that the score is calibrated on besides whole texts.
+PIECE = 12
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD(text.lower()) if text else []
+    """The runs of letters of a text, lower-cased; numerals such as \u00bd or \u2167 are no letters."""
+    found = _WORD(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def _grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +193,7 @@ class Scorer:
 
 def confidence(bits: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray:
     """(texts x langs), each row adding to 1: less sure for short texts and small gaps."""
-    z = -(bits - bits.min(axis=1, keepdims=True)) * np.sqrt(np.minimum(n, 400))[:, None] * temperature
+    z = -(bits - bits.min(axis=1, keepdims=True)) * np.sqrt(n)[:, None] * temperature
     e = np.exp(z)
     return e / e.sum(axis=1, keepdims=True)
 
@@ -196,11 +202,13 @@ def calibrate(models: Models, texts: list[str], langs: list[str]) -> Models:
     """Set the temperature with the least log loss, and each language's rejection limit."""
     if not models.langs:
         return models
-    texts = [*texts, *(t[:60] for t in texts)]
-    langs = [*langs, *langs]
+    # short texts too: all of each text again in pieces
+    pieces = [(" ".join(w[i : i + PIECE]), x) for t, x in zip(texts, langs, strict=True) for w in [words_of(t)] for i in range(0, len(w), PIECE)]
+    texts = [*texts, *(t for t, _ in pieces)]
+    langs = [*langs, *(x for _, x in pieces)]
     bits, n = Scorer(models).score(texts)
     has = n > 0
-    truth = np.array([models.langs.index(x) for x in langs])
+    truth = np.array([models.langs.index(x) for x in langs], np.int64)
     loss = {}
     for t in 2.0 ** np.arange(-4, 5, 0.5):
         p = confidence(bits[has], n[has], t)
@@ -216,11 +224,10 @@ def calibrate(models: Models, texts: list[str], langs: list[str]) -> Models:
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Models:
     """Models from (doc_id, text, lang): ``sample_docs`` documents of each language, those of the least hash of doc_id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
+    known = labelled.where("lang is not null and doc_id is not null")
     # sample_docs ids a language: bounded by the parameter
-    rows = labelled.join(F.broadcast(ids.select("doc_id", "rank")), "doc_id").select("text", "lang", "rank").collect()
+    ids = F.broadcast(least_hashed(known, "lang", sample_docs))
+    rows = known.join(ids, ["doc_id", "lang"]).select("text", "lang", "rank").collect()
     rows = [r for r in rows if r["text"] and r["lang"]]
     samples: dict[str, list[str]] = {}
     for r in rows:
@@ -244,11 +251,11 @@ def _scorer(shared, token: str) -> Scorer:
 def identify(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, lang_pred, score, rejected, bits_per_char) for each row of ``docs``.
 
-    Models of no language (nothing labelled) give ``und`` throughout.  Texts that are null or have no letter are ``und`` with score 0; ties go to the language first by name; repeated
-    rows stay repeated; an empty table gives an empty result; columns but doc_id and text are ignored.
+    Models of no language (nothing labelled) give ``und`` throughout.  Texts that are null or have no letter are ``und``
+    with score 0; texts of any length are read whole; ties go to the language first by name; repeated rows stay repeated;
+    an empty table gives an empty result; columns but doc_id and text are ignored.
     """
     docs = keyed_text(docs)
-    small_batches(docs.sparkSession)
     if not models.langs:
         return docs.selectExpr(
             "doc_id", f"'{UNKNOWN}' as lang_pred", "0D as score", "true as rejected", "cast(null as double) as bits_per_char"
@@ -259,7 +266,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared, token)
         langs, limits = np.array(scorer.m.langs, object), scorer.m.limits
-        for b in batches:
+        for b in slices(batches):
             bits, n = scorer.score(b.column("text").to_pylist())
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(bits)), best]
@@ -280,6 +287,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents, by models of the languages outside the held-out fold.  Odd rows as in identify."""
     docs = table(spark, sf_dir, "documents")
     fold = "crc32(cast(doc_id as string)) % 3"
     models = train(docs.where(f"{fold} <> 1").select("doc_id", "text", "lang"))

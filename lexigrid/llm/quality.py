@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, small_batches, table
+from lexigrid.llm.common import keyed_text, slices, table
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -110,10 +110,10 @@ def first_rejection(text: Text, rules: tuple[Rule, ...]) -> str | None:
 
 
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str | None]:
-    """About ``rows`` texts from all over the table, picked by hash; never more than twice as many."""
+    """About ``rows`` texts from all over the table, picked by the hash of doc_id; never more than twice as many."""
     n = docs.count()
     share = int((1 << 30) * min(1.0, rows / max(1, n)))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= share).select("text").limit(2 * rows)
+    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share).select("text").limit(2 * rows)
     return [r["text"] for r in picked.collect()]
 
 
@@ -123,16 +123,16 @@ _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, stats: bool = False):
     """(doc_id, kept, rejected_by) for each row, with the counts behind the base rules if ``stats``.
 
-    rejected_by is the rule that ended the cascade.  Null and empty texts have no words and are rejected; an empty table
-    gives an empty result; repeated rows stay repeated; columns but doc_id and text are ignored.
+    rejected_by is the rule that ended the cascade.  Null and empty texts have no words and are rejected; texts of any
+    length are read whole; a text exactly at a rule's limit passes; an empty table gives an empty result; repeated rows
+    stay repeated; columns but doc_id and text are ignored.
     """
     docs = keyed_text(docs)
-    small_batches(docs.sparkSession)
     ordered = order_rules(sample_texts(docs, sample_rows), rules)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [Text(x) for x in b.column("text").to_pylist()]
             by = [first_rejection(t, ordered) for t in texts]
             cols = {"doc_id": b.column("doc_id"), "kept": pa.array([x is None for x in by], pa.bool_())}
@@ -151,19 +151,22 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = S
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns.  A row is judged where it lies: no join, no shuffle."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """The rows of ``docs`` that pass, with all their columns.  A row is judged where it lies: no join, no shuffle.
+
+    Null and empty texts are rejected, whatever their doc_id; repeated rows stay or go together; an empty table gives an
+    empty result.
+    """
     ordered = order_rules(sample_texts(keyed_text(docs)), rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([first_rejection(Text(x), ordered) is None for x in b.column("text").to_pylist()]))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents with its counts and verdicts.  Odd rows as in judge."""
     out = judge(table(spark, sf_dir, "documents"), stats=True)
     return out.select("doc_id", *_STATS, "base_failed", "kept")
 

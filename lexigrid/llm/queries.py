@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lexigrid.llm import bpe, decontaminate, html_extract, language_id, quality, secrets, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
@@ -16,6 +15,5 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_warc": warc.op10_warc,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op4_quality_rules": quality.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}

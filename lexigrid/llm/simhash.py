@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, parallelism, small_batches, stage, table, without
+from lexigrid.llm.common import keyed_text, parallelism, slices, stage, table, without
 from lexigrid.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -46,7 +46,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         marks = np.array([fingerprint(x) for x in b.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(marks)], names=["doc_id", "fp"])
 
@@ -54,7 +54,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number, a row for each input row."""
     docs = keyed_text(docs)
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
@@ -114,8 +113,9 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
-    A null or empty text has fingerprint zero and links like any other; repeated rows stay repeated; an empty table
-    gives an empty result; columns but doc_id and text are ignored.  component_id is the smallest non-null doc_id.
+    A null or empty text has fingerprint zero and links like any other; texts of any length are read whole, a row at a
+    time; a bit that is set in exactly half the shingles is 0; repeated rows stay repeated; an empty table gives an empty
+    result; columns but doc_id and text are ignored.  component_id is the smallest non-null doc_id.
     """
     marks = stage(fingerprints(docs), "fingerprints")
     first = marks.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -129,10 +129,15 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents with its fingerprint and component.  Odd rows as in near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; rows of a null doc_id stay."""
+    """One document of each group stays, that with the smallest doc_id, with all its columns.
+
+    Rows of a null doc_id stay; rows that share the smallest doc_id all stay; null and empty texts are one group; an empty
+    table gives an empty result.
+    """
     gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return without(docs, stage(gone, "gone"), ["doc_id"]).select(*docs.columns)

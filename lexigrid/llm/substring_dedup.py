@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, parallelism, sized, small_batches, stage, table, unstage
+from lexigrid.llm.common import keyed_text, parallelism, sized, slices, stage, table, unstage
 
 WINDOW, GRAM = 50, 8
 #: Words of a prefix, as it grows; the last is the depth of the nodes that are sought.
@@ -104,7 +104,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, k, at, size, h1, h2): the spans of every whole text; tid tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             which, cols = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 words = _words(text)
@@ -138,7 +138,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(sid, pa.int64()), pa.array(at, pa.int32()), b.column("doc_id").take(which)]
         return pa.RecordBatch.from_arrays(arrays + [pa.array(x.view(np.int64)) for x in parts], ["sid", "i", "first", *_LEVELS])
 
-    for b in batches:
+    for b in slices(batches):
         rows, cols, n = [], [], 0
         for r, (text, asked) in enumerate(zip(b.column("text").to_pylist(), b.column("asked").to_pylist(), strict=True)):
             blocks = _Blocks(_hashes(_words(text)))
@@ -265,7 +265,7 @@ def repeats(docs: DataFrame, prefix_suffixes: int = PREFIX_SUFFIXES, group_suffi
 
 
 def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         total, removed, kept = [], [], []
         for text, cover in zip(b.column("text").to_pylist(), b.column("cover").to_pylist(), strict=True):
             words = _words(text)
@@ -294,7 +294,6 @@ def remove_repeats(
     row each; texts of any length are read whole, a row at a time; an empty table gives an empty result; columns but
     doc_id and text are ignored.
     """
-    small_batches(docs.sparkSession)
     docs = keyed_text(docs).withColumn("tid", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     covers = repeats(docs, prefix_suffixes, group_suffixes)

@@ -1,8 +1,9 @@
 """WARC archives: a writer with content-addressed revisits, and a reader that salvages damaged files.
 
-Writing.  Each task streams its records, one gzip member each, into files of about ``FILE_BYTES``, first under a name
-of the attempt and then renamed, so a lost or repeated attempt leaves no half file under a final name.  Files go to a
-folder that executors share, through a file system found by the path's scheme.  The result is the manifest.
+Writing.  Each task streams its records, one gzip member each, into files of about ``FILE_BYTES``, under names of the
+attempt's own, so no attempt writes over another's files.  Files go to a folder that executors share, through a file
+system found by the path's scheme.  The result is the manifest: it names the files of the attempts that were committed,
+with their numbers of records, and readers hold the files against it.
 
 Reading.  A file is read in blocks.  A record must have a version line, a header block, a Content-Length that fits, the
 closing blank lines and, where it states one, a matching block digest.  After a failed check the reader looks for the
@@ -13,17 +14,19 @@ row of kind ``gap`` with their offset, length and reason, so nothing is skipped
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import fresh_path, parallelism, small_batches, stage, table
+from lexigrid.llm.common import fresh_path, parallelism, slices, stage, table
 
 FILE_BYTES = 32 << 20
 BLOCK = 1 << 20
@@ -31,8 +34,10 @@ BLOCK = 1 << 20
 REVISIT_BYTES = 100
 #: Digests that may be broadcast: half a million take some 64 MB.
 BROADCAST_DIGESTS = 500_000
-#: No record may be longer: a Content-Length beyond it fails the check.
-RECORD_BYTES = 1 << 30
+#: A header block is looked for so far.
+HEADER_BYTES = 64 << 20
+#: No block may be longer: Spark has no longer value, so the writer can't be handed one.
+RECORD_BYTES = 1 << 31
 # The markers of the two formats.
 VERSION, MEMBER, END = b"WARC/", b"\x1f\x8b\x08", b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,10 +64,26 @@ class Gap:
     reason: str
 
 
+#: What can't stand in a header line, or not at either end of its value.
+_LINE = re.compile(r"[\x00-\x1f\x7f\x85\u2028\u2029]|^\s|\s$").sub
+
+
+def _percent(m: re.Match) -> str:
+    return quote(m[0], safe="")
+
+
+def page_name(page) -> str:
+    """The record id of a page; that of a null page_id has no id in it."""
+    return "<urn:page>" if page is None else f"<urn:page:{quote(str(page), safe='')}>"
+
+
 def make_record(headers: dict[str, str], block: bytes) -> bytes:
-    """One record as a gzip member of its own; Content-Length and the block digest are added."""
+    """One record as a gzip member of its own; Content-Length and the block digest are added.
+
+    White space that a header line can't hold is percent-encoded.
+    """
     own = headers | {"WARC-Block-Digest": "sha256:" + hashlib.sha256(block).hexdigest(), "Content-Length": str(len(block))}
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {' '.join(str(v).split())}\r\n" for k, v in own.items()) + "\r\n"
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {_LINE(_percent, str(v))}\r\n" for k, v in own.items()) + "\r\n"
     gz = zlib.compressobj(6, zlib.DEFLATED, 31)
     return gz.compress(head.encode() + block + END) + gz.flush()
 
@@ -173,6 +194,8 @@ def salvage(stream) -> Iterator[Record | Gap]:
     gap: Gap | None = None
     while w.data or w.more():
         try:
+            while len(w.data) < len(VERSION) and w.more():
+                pass
             if w.data[:3] == MEMBER or len(w.data) < 3:
                 content, size = _member(w)
                 record, used = parse_record(content)
@@ -197,18 +220,22 @@ def salvage(stream) -> Iterator[Record | Gap]:
 
 
 def _plain(w: _Window) -> tuple[Record, int]:
-    while True:
-        try:
-            return parse_record(bytes(w.data))
-        except Damaged as e:
-            wants_more = str(e) in ("header block without an end", "block cut short", "block not closed")
-            if not wants_more or len(w.data) > RECORD_BYTES or not w.more():
-                raise
+    """The record at the start of the window, read on until its header block says that it is whole."""
+    seen = 0
+    while (end := w.data.find(END, max(0, seen - 4))) < 0:
+        seen = len(w.data)
+        if not w.data.startswith(VERSION) or seen > HEADER_BYTES or not w.more():
+            break
+    size = re.search(rb"\r\nContent-Length:[ \t]*(\d{1,19})[ \t]*\r\n", w.data[: end + 2]) if end >= 0 else None
+    if size and int(size[1]) <= RECORD_BYTES:
+        while len(w.data) < end + 8 + int(size[1]) and w.more():
+            pass
+        return parse_record(bytes(w.data[: end + 8 + int(size[1])]))
+    return parse_record(bytes(w.data[: max(0, end) + 4]))
 
 
 def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write (page_id, url, payload, digest, record_type, refers_to) rows; returns the manifest (path, n_records, n_bytes)."""
-    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
@@ -219,19 +246,17 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
         def close():
             nonlocal out
             out[0].close()
-            final = f"{root}/{stem}-{n:05d}.warc.gz"
-            files.move(out[1], final)
-            done.append((final, out[2], out[3]))
+            done.append((out[1], out[2], out[3]))
             out = None
 
-        for b in batches:
+        for b in slices(batches, "payload"):
             for page, url, payload, digest, kind, refers in zip(*(b.column(c).to_pylist() for c in _WRITTEN), strict=True):
                 if out is None:
-                    name = f"{root}/.{stem}-{n:05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-                    out = [files.open_output_stream(name), name, 0, 0]
+                    name = f"{root}/{stem}-{n:05d}-{uuid.uuid4().hex}.warc.gz"
+                    out = [files.open_output_stream(name, compression=None), name, 0, 0]
                 headers = {
                     "WARC-Type": kind,
-                    "WARC-Record-ID": f"<urn:page:{page}>",
+                    "WARC-Record-ID": page_name(page),
                     "WARC-Date": "1970-01-01T00:00:00Z",
                     "WARC-Target-URI": url or "",
                     "WARC-Payload-Digest": f"sha256:{digest}",
@@ -240,7 +265,7 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
                 if kind == "revisit":
                     headers |= {
                         "WARC-Profile": REVISIT_PROFILE,
-                        "WARC-Refers-To": f"<urn:page:{refers}>",
+                        "WARC-Refers-To": page_name(refers),
                         "X-Payload-Length": str(len(payload)),
                     }
                 raw = make_record(headers, b"" if kind == "revisit" else payload)
@@ -269,11 +294,12 @@ _READ = (
 )
 
 
-def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Rows of kind ``record`` and ``gap`` from the files of a manifest (path), read as streams.
+def read_archives(manifest: DataFrame, folder: str, payloads: bool = True, whole: bool = False) -> DataFrame:
+    """Rows of kind ``record`` and ``gap`` from the files of a manifest (path, n_records), read as streams.
 
-    Unreadable files give one gap row.  For responses, payload_bytes and payload_digest are those of the bytes read; for
-    revisits, those the record states.
+    Damaged bytes give gap rows; a file that can't be opened or read fails its task, which Spark tries again.  If
+    ``whole``, so does a file with other than n_records records.  An empty manifest gives an empty result.  For responses,
+    payload_bytes and payload_digest are those of the bytes read; for revisits, those the record states.
     """
     n = max(1, min(parallelism(manifest.sparkSession), manifest.count()))
 
@@ -282,28 +308,29 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
         names = [x.split()[0] for x in _READ.split(", ")]
         kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.binary(), pa.int64(), pa.string(), pa.string()]
 
-        def rows(path: str):
-            try:
-                with files.open_input_stream(path, compression=None) as stream:
-                    for x in salvage(stream):
-                        if isinstance(x, Gap):
-                            yield (path, x.offset, x.length, "gap", *[None] * 7, x.reason)
-                            continue
-                        h = x.headers
-                        kind = h.get("WARC-Type")
-                        if kind == "revisit":
-                            size, digest = int(h.get("X-Payload-Length", -1)), h.get("WARC-Payload-Digest", "").removeprefix("sha256:")
-                        else:
-                            size, digest = len(x.block), hashlib.sha256(x.block).hexdigest()
-                        names = (h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Refers-To"))
-                        yield (path, x.offset, x.length, "record", kind, *names, x.block if payloads else None, size, digest, None)
-            except OSError as e:
-                yield (path, 0, 0, "gap", *[None] * 7, f"file can't be read: {e}")
+        def rows(path: str, expected: int):
+            met = 0
+            with files.open_input_stream(path, compression=None) as stream:
+                for x in salvage(stream):
+                    if isinstance(x, Gap):
+                        yield (path, x.offset, x.length, "gap", *[None] * 7, x.reason)
+                        continue
+                    met += 1
+                    h = x.headers
+                    kind = h.get("WARC-Type")
+                    if kind == "revisit":
+                        size, digest = int(h.get("X-Payload-Length", -1)), h.get("WARC-Payload-Digest", "").removeprefix("sha256:")
+                    else:
+                        size, digest = len(x.block), hashlib.sha256(x.block).hexdigest()
+                    names = (h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Refers-To"))
+                    yield (path, x.offset, x.length, "record", kind, *names, x.block if payloads else None, size, digest, None)
+            if whole and met != expected:
+                raise OSError(f"{path} has {met} records of {expected}")
 
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for path, expected in zip(b.column("path").to_pylist(), b.column("n_records").to_pylist(), strict=True):
                 held, weight = [], 0
-                for row in rows(path):
+                for row in rows(path, expected):
                     held.append(row)
                     weight += 200 + len(row[8] or b"")
                     if weight > 8 * BLOCK:
@@ -312,7 +339,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                 if held:
                     yield _batch(held, names, kinds)
 
-    return manifest.select("path").repartition(n).mapInArrow(run, _READ)
+    return manifest.select("path", "n_records").repartition(n).mapInArrow(run, _READ)
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -323,7 +350,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """Pages with payload, digest and what kind of record each becomes.
 
     Null html is an empty payload; a page of null id is always a response.  Of rows with equal payloads of REVISIT_BYTES
-    or more that with the smallest page_id is the response; rows that repeat that page_id are responses too.
+    or more that with the smallest page_id is the response; rows that repeat that page_id are responses too.  Pages of any
+    length that Spark can hold are whole; an empty table gives an empty result; columns but page_id, url and html are
+    ignored.
     """
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("payload"))
@@ -342,11 +371,12 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
+    """Every row of pages, written and read back; a record that is lost on the way is an error.  Odd rows as in with_revisits."""
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType.simpleString()
     folder = fresh_path(spark, "warc")
-    back = read_archives(write_archives(with_revisits(pages), folder), folder, payloads=False)
-    ident = "cast(nullif(regexp_extract({0}, '^<urn:page:(.*)>$', 1), 'None') as {1})"
+    back = read_archives(write_archives(with_revisits(pages), folder), folder, payloads=False, whole=True)
+    ident = "cast(if({0} = '<urn:page>', null, url_decode(regexp_extract({0}, '^<urn:page:(.*)>$', 1))) as {1})"
     return back.where("kind = 'record'").selectExpr(
         f"{ident.format('record_id', kind)} as page_id",
         "payload_bytes",

@@ -1,5 +1,7 @@
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -28,7 +30,7 @@ def test_kernel_by_hand():
         norm = (1 + sum(x * x for v in out.values() for x in v)) ** 0.5
         return {k: sum(v) / norm for k, v in out.items()}
 
-    words = ["idiot", "idxiot", "banana", "ab", "worthless"]
+    words = ["idiot", "idxiot", "banana", "abc", "worthless"]
     want = [[sum(v * slow(b).get(k, 0) for k, v in slow(a).items()) for b in words] for a in words]
     assert np.allclose(tox.gram(words, words), want)
     assert tox.gram(["idxiot"], ["idiot"])[0, 0] > tox.gram(["ideals"], ["idiot"])[0, 0]
@@ -51,6 +53,55 @@ def test_toxicity_held_out(spark):
     assert np.mean(pairs) > 0.8
 
 
+@pytest.fixture(scope="module")
+def machine():
+    """Trained on the labelled rows of the tenth-size tables outside the held-out fold."""
+    import pyarrow.parquet as pq
+
+    big = SF.replace("0.01", "0.1")
+    text = dict(zip(*(pq.read_table(f"{big}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text")), strict=True))
+    labels = pq.read_table(f"{big}/labels.parquet").to_pylist()
+    rows_ = [r for r in labels if r["toxic"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    taken = [r for v in (0, 1) for r in [x for x in rows_ if x["toxic"] == v][:600]]
+    return tox.train([text[r["doc_id"]] for r in taken], [r["toxic"] for r in taken])
+
+
+def test_misspelt_insults(machine):
+    p = lambda words: machine.probability(machine.margins(words))
+    insults = ["idiot", "moron", "loser", "trash", "stupid", "worthless", "pathetic", "disgusting", "scum", "clown"]
+    assert np.all(p(insults) >= 0.9)
+    put_in = [w[:i] + x + w[i:] for w in insults for i in range(1, len(w)) for x in "abcdefghijklmnopqrstuvwxyz"]
+    doubled = [w[:i] + w[i] + w[i:] for w in insults for i in range(1, len(w))]
+    left_out = [w[:i] + w[i + 1 :] for w in insults if len(w) > 4 for i in range(1, len(w))]
+    shares = [(p(x) >= 0.5).mean() for x in (put_in, doubled, left_out)]
+    assert shares[0] >= 0.9 and shares[1] >= 0.95 and shares[2] >= 0.7, shares
+    assert np.all(p(["morning", "trust", "town", "people", "the", "lesson", "student"]) < 0.5)
+
+
+def test_scores_by_hand(machine):
+    """The margin of a text, from every subsequence of every word."""
+    weight = dict(zip(machine.keys.tolist(), machine.weights.tolist(), strict=True))
+
+    def slow(w):
+        s, total, squares = "\x02" + w, 0.0, 1.0
+        def go(at, h, x, left):
+            nonlocal total, squares
+            h = (h ^ ord(s[at])) * 0x9E3779B97F4A7C15 % (1 << 64)
+            h ^= h >> 29
+            if not left:
+                total, squares = total + x * weight.get(h, 0.0), squares + x * x
+            for g in range(tox.GAP + 1) if left else ():
+                if at + 1 + g < len(s):
+                    go(at + 1 + g, h, x * tox.DECAY**g, left - 1)
+        for i in range(len(s)):
+            go(i, 7, 1.0, tox.P - 1)
+        return total / squares**0.5 + machine.bias
+
+    texts = ["You are an id-iot, really", "a calm morning by the sea", "", None, "w o r t h l e s s", "x"]
+    want = [max([slow(w) for w in set(tox.words_of(t))], default=machine.bias) for t in texts]
+    assert np.allclose(tox.Scorer(machine).margins(texts), want)
+
+
 def test_toxicity_odd_rows(spark, clashing, empty):
     labels = spark.createDataFrame([(1, 1, 1), (8, 1, 0), (9, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     m = tox.fit(clashing, labels)
@@ -74,6 +125,46 @@ def test_language_models_sum_to_one():
         assert np.all(total <= 1 + 1e-5) and np.all(total >= 1 - 3 * unseen)
 
 
+def test_language_against_plain_kneser_ney():
+    texts = {"a": ["abba baab aab abc", "bab ba abba"], "b": ["abc cab bca abcabc", "bac cab"]}
+    m = li.fit(texts)
+    alphabet = len({c for ts in texts.values() for t in ts for c in t if c != " "}) + 2
+
+    def model(ts):
+        words = [w for t in ts for w in t.split()]
+        padded = ["\x02" * li.ORDER + w + "\x03" for w in words]
+        top = Counter(w[i - li.ORDER + 1 : i + 1] for w in padded for i in range(li.ORDER, len(w)))
+        tables = {li.ORDER: top}
+        for n in range(li.ORDER - 1, 0, -1):
+            longer = {w[i - n : i + 1] for w in padded for i in range(li.ORDER, len(w))}
+            tables[n] = Counter(g[1:] for g in longer)
+
+        def p(c, context, n):
+            if n == 0:
+                return 1 / alphabet
+            t, lower = tables[n], p(c, context[1:], n - 1)
+            ones, twos = (sum(v == k for v in t.values()) for k in (1, 2))
+            d = ones / (ones + 2 * twos) if ones else 0.5
+            below = {g: v for g, v in t.items() if g[:-1] == context}
+            if not below:
+                return lower
+            return (max(t.get(context + c, 0) - d, 0) + d * len(below) * lower) / sum(below.values())
+
+        return lambda c, context: p(c, context, li.ORDER)
+
+    for word in ("abba", "cab", "zq", "abcb"):
+        got, _ = m.probabilities([word])
+        s = "\x02" * li.ORDER + word + "\x03"
+        for j, x in enumerate(sorted(texts)):
+            want = [model(texts[x])(s[i], s[i - li.ORDER + 1 : i]) for i in range(li.ORDER, len(s))]
+            assert np.allclose(got[:, j], want, rtol=1e-4), (word, x)
+
+
+def test_texts_without_a_letter():
+    assert [li.words_of(t) for t in ("\u00bd \u00b2", "\u2460", "\u2167", "123 _", None, "")] == [[]] * 6
+    assert li.words_of("a\u00bdb \u00c9t\u00e9 x2") == ["a", "b", "\u00e9t\u00e9", "x"]
+
+
 def test_language_held_out(spark):
     from lexigrid.llm import queries
 
@@ -109,6 +200,33 @@ def test_pages_of_the_table(spark):
         assert got[p.page_id].text == "\n".join(lines) and got[p.page_id].n_chars == len(got[p.page_id].text)
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a ">"', "<!", "</script", "<script", "<a '\"", "&#9", "<b>"])
+def test_long_broken_pages(piece):
+    began = time.perf_counter()
+    assert isinstance(hx.main_text(piece * (1_000_000 // len(piece)), hx.trained()), str)
+    assert time.perf_counter() - began < 20
+
+
+def test_no_element_but_scripts_and_forms_is_dropped():
+    page = "<p>We know that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds for all cases</p><p>A <svg><text>label</text></svg> and <object>a chart</object> <my-el>too</my-el></p>"
+    assert [b.text for b in hx.blocks(page)] == ["We know that x=1 holds for all cases", "A label and a chart too"]
+    assert [b.text for b in hx.blocks("<p>&#" + "9" * 5000 + "; &#" + "0" * 5000 + "65;</p>")] == ["\ufffd A"]
+
+
+def test_layouts_that_name_nothing():
+    first, second = "This is the first paragraph of the article, and it has some length to it.", "Another one follows here, with more words than the one before it has."
+    body = f"<h1>A title of it</h1><p>{first}</p><p>{second}</p>"
+    menu = "<td><a href=/>Home</a><br><a href=/x>News</a></td>"
+    for page in (f"<table><tr>{menu}<td>{body}</td></tr></table>", f"<body><div>{body}</div></body>", body):
+        assert hx.main_text(page, hx.trained()).split("\n")[-2:] == [first, second]
+
+
+def test_pages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>Some long text, here it is.</p></article>")] * 2, "page_id long, url string, html string")
+    more = df.select("*", *(F.lit("x").alias(c) for c in ("text", "n_chars", "payload", "path", "kind", "HTML2")))
+    assert sorted(map(tuple, hx.extract(more).collect())) == sorted(map(tuple, hx.extract(df).collect()))
+
+
 def test_unseen_layouts():
     field, r = hx.trained(), random.Random(99)
     wrong = total = 0

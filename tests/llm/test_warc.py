@@ -4,6 +4,7 @@ import random
 
 import pytest
 from oracle import both
+from pyspark.sql import functions as F
 
 from lexigrid.llm import queries, warc
 
@@ -101,6 +102,56 @@ def test_archives_by_rows(spark, tmp_path):
     assert sum(r.kind == "gap" for r in again) == 1
 
 
+def test_lost_records_are_an_error(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "x" * (200 + i)) for i in range(5)], PAGES)
+    folder = f"file://{tmp_path}/arc"
+    manifest = warc.write_archives(warc.with_revisits(df.coalesce(1)), folder)
+    path = next(tmp_path.rglob("*.warc.gz"))
+    raw = path.read_bytes()
+    path.write_bytes(raw[:-9])
+    assert {r.kind for r in warc.read_archives(manifest, folder).collect()} == {"record", "gap"}
+    with pytest.raises(Exception, match="has 4 records of 5"):
+        warc.read_archives(manifest, folder, whole=True).collect()
+    path.unlink()
+    with pytest.raises(Exception, match="arc"):
+        warc.read_archives(manifest, folder).collect()
+
+
+def test_odd_ids_and_clashing_columns(spark, tmp_path, monkeypatch):
+    body = "long enough a page to be revisited, " * 5
+    ids = ["None", None, "a b+c", " x ", "%41", "\r\n", "é>", "None"]
+    df = spark.createDataFrame([(i, "u v\n w", body) for i in ids], "page_id string, url string, html string")
+    df = df.select("*", *(F.lit(1).alias(c) for c in ("payload", "payload_digest", "first", "copies", "kind", "n")))
+    monkeypatch.setattr(warc, "table", lambda spark, d, name: df)
+    got = warc.op10_warc(spark, "").collect()
+    assert sorted(map(repr, (r.page_id for r in got))) == sorted(map(repr, ids))
+    assert {r.refers_to for r in got if r.page_id not in (None, " x ", "\r\n")} == {"\r\n"}
+    assert {r.record_type for r in got if r.page_id in (None, "\r\n")} == {"response"}
+
+
+def test_records_that_end_at_the_edge_of_a_block(monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "BLOCK", 1000)
+    for left in range(1, 8):
+        head = gzip.decompress(warc.make_record({"WARC-Record-ID": "<a>"}, b""))
+        first = gzip.decompress(warc.make_record({"WARC-Record-ID": "<a>"}, b"x" * (3000 - left - len(head) - 3)))
+        raw = first + gzip.decompress(warc.make_record({"WARC-Record-ID": "<b>"}, b"y" * 50))
+        found = read(raw)
+        assert names(found) == ["<a>", "<b>"], left
+        covers(found, len(raw))
+
+
+def test_long_plain_records_take_one_pass():
+    import gzip
+    import time
+
+    raw = gzip.decompress(warc.make_record({"WARC-Record-ID": "<a>"}, b"x" * (200 << 20)))
+    began = time.perf_counter()
+    assert names(read(raw)) == ["<a>"]
+    assert time.perf_counter() - began < 10
+
+
 def test_empty_pages(spark, tmp_path):
     folder = f"file://{tmp_path}/arc"
     assert warc.read_archives(warc.write_archives(warc.with_revisits(spark.createDataFrame([], PAGES)), folder), folder).count() == 0
