@@ -4,11 +4,12 @@ A candidate is a run of at least ``SHORTEST`` token characters with a digit; a r
 secrets do; what is assigned to a name with a telling word, of any length and characters; or a private-key block, which
 needs no forest.  Features: length, shares of character classes, class changes and common letter pairs between
 neighbours, the share covered by dictionary words, the path the text comes from and paths inside the candidate, and the
-words before it.  The forest is fitted by Spark ML on labelled findings and then written out as SQL, so that scanning is one
+words before and after it.  The forest is fitted by Spark ML on labelled findings and then written out as SQL, so that scanning is one
 projection over each row: no shuffle, no join, nothing but the row in memory.
 
 The labelled findings come from a seeded generator of real-looking secrets and of what is taken for secrets: commit
-ids, checksums, identifiers, paths, versions, placeholders, numbers, addresses.  Own findings can be given instead.
+ids, checksums, identifiers, paths, versions, placeholders, numbers, addresses.  Own findings can be given instead, as a
+list or as a table (c, b, a, p, label): candidate, words before and after, path, and 1 for a secret.
 """
 
 from __future__ import annotations
@@ -63,8 +64,9 @@ _KNOWN = "(?<![A-Za-z0-9])" + PREFIXES[1:] + "[A-Za-z0-9+/_.-]*={0,2}"
 _NAME = r"(?i:%s)[A-Za-z0-9_.-]*+[\"'`\])\\]*+\s*+(?::\s*[A-Za-z_][A-Za-z0-9_.\[\]]*+\s+=(?!=)|:=|=>|={1,3}|:)" % TELLING
 _END = r"[&,;][A-Za-z_][A-Za-z0-9_.-]*+=|[\"'`][,;:)}\]>\s]|</|<br|(?i:%s)[A-Za-z0-9_.-]*+[\"'`\])\\]*+[:=]|\s|\z" % TELLING
 _QUOTED = r"(\"{3}|'{3}|\\?[\"'`])(?:(?!\3)(?:\\.|[^\r\n]))*+\3"
-#: Group 1 is the name and the assignment, group 2 the value, which is only looked at: another name may stand in it.
-_ASSIGNED = rf"((?:{_NAME}|\b(?i:bearer|basic)(?=\s))\s*+(?:[bru]{{1,2}}(?=[\"']))?+)(?=({_QUOTED}|\S+?(?={_END})))"
+#: Group 1 is the name and the assignment, group 2 the value, group 4 the two words after it.  The latter two are only
+#: looked at: another name may stand in them.
+_ASSIGNED = rf"((?:{_NAME}|\b(?i:bearer|basic)(?=\s))\s*+(?:[bru]{{1,2}}(?=[\"']))?+)(?=({_QUOTED}|\S+?(?={_END}))[\"'`,;:)\]}}>]*+((?:[ \t]*+[^\s]++){{0,2}}+))"
 #: What is taken off the end of a value without quotes.
 STRIPPED = "\"'`,;:)]}>.\\"
 _BEGIN, _CLOSE = (f"-----{x}[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----" for x in ("BEGIN", "END"))
@@ -107,6 +109,8 @@ def _feature_sql() -> dict[str, str]:
         "telling": f"regexp_count(x.b, '{TELLING}')",
         "harmless": f"regexp_count(x.b, '{HARMLESS}')",
         "assigned": "cast(x.b rlike '[=:][^A-Za-z0-9]*$' as int)",
+        "after": f"regexp_count(x.a, '{HARMLESS}')",
+        "code_after": f"cast(x.a rlike {_lit('^[^a-z0-9]*[(' + chr(92) + '[]|^[.][a-z]')} as int)",
         "mock": f"regexp_count(lower(x.p), '{MOCK_PATH}')",
         "quoted": f"cast(x.b rlike {_lit(chr(91) + chr(34) + chr(39) + chr(96) + ']$')} as int)",
         "signs": f"regexp_count(x.c, {_lit('[^A-Za-z0-9+/_.= -]')}) / {n}",
@@ -119,7 +123,7 @@ FEATURES = _feature_sql()
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[dict]:
-    """Findings {c, b, p, label}: candidate, words before it, path, and 1 for a secret."""
+    """Findings {c, b, a, p, label}: candidate, words before and after it, path, and 1 for a secret."""
     r = random.Random(seed)
     alnum = string.ascii_letters + string.digits
     pick = lambda chars, k: "".join(r.choices(chars, k=k))
@@ -233,11 +237,15 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[dict]:
             c, b = password() if i % 2 else plain()
         else:
             c, b = secret() if i % 2 else harmless()
+        quote = b[-1] if b[-1:] in ("'", '"') else ""
+        common = [lambda: "", lambda: f" {word()} {word()}", lambda: f" {word()}"]
+        telling = [lambda: " is the " + r.choice(["hash", "checksum", "commit", "digest", "revision"]), lambda: f" {r.choice(['sha256', 'md5', 'commit', 'build', 'order'])} {word()}"]
+        a = quote + r.choice(common * 3 + telling if i % 2 == 0 else common)()
         path = f"{word()}/{word()}.{r.choice(['py', 'txt', 'md', 'html'])}"
         label, mocked = i % 2, r.random() < 0.06
         if mocked:  # findings in mock data are not secrets
             path, label = r.choice(["tests/", "examples/", "fixtures/mock_", "sample/"]) + path, 0
-        out.append({"c": c, "b": b.lower(), "p": path if r.random() < 0.7 or mocked else "", "label": label})
+        out.append({"c": c, "b": b.lower(), "a": a.lower(), "p": path if r.random() < 0.7 or mocked else "", "label": label})
     return out
 
 
@@ -255,14 +263,30 @@ def _features(x: str = "x") -> str:
     return "named_struct(" + ", ".join(f"'{k}', cast({v.replace('x.', x + '.')} as double)" for k, v in FEATURES.items()) + ")"
 
 
-def fit_forest(spark: SparkSession, findings: list[dict], seed: int = 3) -> str:
+def findings_table(spark: SparkSession, findings: list[dict] | DataFrame) -> DataFrame:
+    """(label, f, features) of labelled findings; missing words and paths are empty, findings without a label are left out."""
+    if isinstance(findings, DataFrame):
+        rows = findings
+    else:
+        kinds = "array<struct<c:string,b:string,a:string,p:string,label:int>>"
+        rows = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(findings)), kinds)))
+    rows = rows.where("c is not null and c <> '' and label in (0, 1)")
+    text = [F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in ("c", "b", "a", "p")]
+    rows = rows.select(F.struct(*text).alias("x"), F.col("label").cast("double").alias("label"))
+    rows = rows.select("label", F.expr(_features()).alias("f")).select("label", "f", "f.*")
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "f", "features")
+
+
+def fit_model(spark: SparkSession, findings: list[dict] | DataFrame, seed: int = 3):
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, minInstancesPerNode=3).fit(findings_table(spark, findings))
+
+
+def fit_forest(spark: SparkSession, findings: list[dict] | DataFrame, seed: int = 3) -> str:
     """SQL of the probability that a candidate with features f is a secret."""
-    kinds = "array<struct<c string, b string, p string, label int>>".replace(" ", ":").replace(",:", ",")
-    rows = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(findings)), kinds)))
-    rows = rows.select(F.struct("c", "b", "p").alias("x"), F.col("label").cast("double").alias("label"))
-    rows = rows.select("label", F.expr(_features()).alias("f")).select("label", "f.*")
-    made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, minInstancesPerNode=3).fit(made)
+    return forest_as_sql(fit_model(spark, findings, seed))
+
+
+def forest_as_sql(forest) -> str:
     trees = [_tree_sql(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t in forest.trees]
     return "(" + " + ".join(trees) + f") / {len(trees)}"
 
@@ -270,7 +294,7 @@ def fit_forest(spark: SparkSession, findings: list[dict], seed: int = 3) -> str:
 _forests: dict[str, str] = {}
 
 
-def forest_sql(spark: SparkSession, findings: list[dict] | None = None) -> str:
+def forest_sql(spark: SparkSession, findings: list[dict] | DataFrame | None = None) -> str:
     """The forest, fitted once a driver for the built-in findings."""
     if findings is not None:
         return fit_forest(spark, findings)
@@ -280,7 +304,7 @@ def forest_sql(spark: SparkSession, findings: list[dict] | None = None) -> str:
 
 
 def with_findings(docs: DataFrame, forest: str, text_col: str = "text", path_col: str | None = None) -> tuple[DataFrame, str]:
-    """``docs`` with columns for the text, its candidates array<struct<c, b, p>> and secrets array<string>, and their prefix.
+    """``docs`` with columns for the text, its candidates array<struct<c, b, a, p>> and secrets array<string>, and their prefix.
 
     The columns are <prefix>t, <prefix>candidates and <prefix>secrets; secrets stand longest first.
     """
@@ -292,22 +316,25 @@ def with_findings(docs: DataFrame, forest: str, text_col: str = "text", path_col
     words = words.withColumn(f"{p}hot", F.expr(hot))
     # each candidate with what stands before it: two words, and the part of its own word
     before = f"lower(concat_ws(' ', get({p}w, i - 2), get({p}w, i - 1), substring_index({p}w[i], c, 1)))"
+    after = f"lower(concat_ws(' ', substring({p}w[i], locate(c, {p}w[i]) + length(c)), get({p}w, i + 1), get({p}w, i + 2)))"
     found = f"""filter(flatten(transform({p}hot, i -> transform(
         regexp_extract_all({p}w[i], '{_RUN}', 1),
-        c -> named_struct('c', regexp_replace(c, '^[./-]+|[./-]+$', ''), 'b', {before}, 'p', {path})))),
+        c -> named_struct('c', regexp_replace(c, '^[./-]+|[./-]+$', ''), 'b', {before}, 'a', {after}, 'p', {path})))),
         x -> length(x.c) >= {SHORTEST} and x.c rlike '[0-9]')"""
-    none = "cast(array() as array<struct<c:string,b:string,p:string>>)"
+    none = "cast(array() as array<struct<c:string,b:string,a:string,p:string>>)"
     words = words.withColumn(f"{p}runs", F.expr(f"if(size({p}hot) = 0, {none}, {found})"))
     known = f"""flatten(transform(filter(sequence(0, size({p}w) - 1), i -> {p}w[i] rlike {_lit(_KNOWN)}), i -> transform(
         regexp_extract_all({p}w[i], {_lit(_KNOWN)}, 0),
-        c -> named_struct('c', regexp_replace(c, '[./-]+$', ''), 'b', {before}, 'p', {path}))))"""
+        c -> named_struct('c', regexp_replace(c, '[./-]+$', ''), 'b', {before}, 'a', {after}, 'p', {path}))))"""
     words = words.withColumn(f"{p}known", F.expr(f"if({p}t rlike {_lit(_KNOWN)}, {known}, {none})"))
     # the name with the assignment and its quote, and the value without quotes and what closes a phrase
     quote, closed = _lit(r"^(\"{3}|'{3}|\\?[\"'`])"), _lit(r"(?s)^(\"{3}|'{3}|\\?[\"'`])(.*)\1$")
     bare = f"regexp_replace(regexp_replace(v, {_lit(r'^[\"' + chr(39) + '`]+')}, ''), {_lit(r'[\"' + chr(39) + r'`,;:)\]}>.\\]+$')}, '')"
     value = f"if(v rlike {closed}, regexp_replace(v, {closed}, '$2'), {bare})"
-    given = f"""zip_with(regexp_extract_all({p}t, {_lit(_ASSIGNED)}, 1), regexp_extract_all({p}t, {_lit(_ASSIGNED)}, 2),
-        (b, v) -> named_struct('c', {value}, 'b', lower(concat(b, regexp_extract(v, {quote}, 1))), 'p', {path}))"""
+    parts = ", ".join(f"regexp_extract_all({p}t, {_lit(_ASSIGNED)}, {i})" for i in (1, 2, 4))
+    own = value.replace("v,", "z['1'],").replace("v rlike", "z['1'] rlike")
+    given = f"""transform(arrays_zip({parts}), z -> named_struct('c', {own},
+        'b', lower(concat(z['0'], regexp_extract(z['1'], {quote}, 1))), 'a', lower(z['2']), 'p', {path}))"""
     words = words.withColumn(f"{p}given", F.expr(f"if({p}t rlike {_lit(_ASSIGNED)}, {given}, {none})"))
     more = f"array_distinct(filter(concat({p}known, {p}given), x -> not contains('{MASK}', x.c) and not exists({p}runs, y -> y.c = x.c)))"
     out = words.withColumn(f"{p}candidates", F.expr(f"if(size({p}known) + size({p}given) = 0, {p}runs, concat({p}runs, {more}))"))
@@ -327,18 +354,19 @@ def _redacted(p: str) -> str:
     return f"aggregate({p}secrets, {p}t, (t, s) -> replace(t, s, '{MASK}'))"
 
 
-def scan(docs: DataFrame, findings: list[dict] | None = None, text_col: str = "text", path_col: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, findings: list[dict] | DataFrame | None = None, text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """(doc_id, n_candidates, secrets, redacted) for each row of ``docs``.
 
-    Null and empty texts have no candidate and an empty redacted text; a repeated secret counts once a document;
-    repeated rows stay repeated; an empty table gives an empty result; columns but those named are ignored.
+    Null and empty texts have no candidate and an empty redacted text; texts of any length are read whole; a repeated
+    secret counts once a document; a candidate exactly at the threshold is a secret; repeated rows stay repeated; an empty
+    table gives an empty result; columns but those named are ignored.
     """
     keep = [F.col("doc_id"), F.col(text_col).alias("text")] + ([F.col(path_col).alias("path")] if path_col else [])
     out, p = with_findings(docs.select(*keep), forest_sql(docs.sparkSession, findings), "text", "path" if path_col else None)
     return out.selectExpr("doc_id", f"cast(size({p}candidates) as bigint) as n_candidates", f"{p}secrets as secrets", f"{_redacted(p)} as redacted")
 
 
-def redact(docs: DataFrame, findings: list[dict] | None = None, path_col: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, findings: list[dict] | DataFrame | None = None, path_col: str | None = None) -> DataFrame:
     """``docs`` with every secret masked in ``text``, null texts kept, and ``n_chars``, if there, counted anew."""
     out, p = with_findings(docs, forest_sql(docs.sparkSession, findings), "text", path_col)
     out = out.withColumn("text", F.expr(f"if(text is null, null, {_redacted(p)})"))
@@ -349,6 +377,7 @@ def redact(docs: DataFrame, findings: list[dict] | None = None, path_col: str |
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents with its candidates, its secrets and the digest of what is left.  Odd rows as in scan."""
     out = scan(table(spark, sf_dir, "documents"), path_col="source")
     return out.selectExpr(
         "doc_id", "n_candidates", "cast(size(secrets) as bigint) as n_secrets", "sha2(redacted, 256) as redacted_sha256", "secrets"

@@ -268,13 +268,26 @@ def test_pages_odd_rows(spark):
 
 
 def test_forest_on_held_out_findings(spark):
-    held = sc.labelled_findings(800, seed=77)
-    import json
-
-    sql = sc.forest_sql(spark)
-    rows_ = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(held)), "array<struct<c:string,b:string,p:string,label:int>>")))
-    got = rows_.select(F.struct("c", "b", "p").alias("x"), "label").select("label", F.expr(sc._features()).alias("f")).select("label", F.expr(sql).alias("p")).collect()
-    assert np.mean([(r.p >= 0.5) == bool(r.label) for r in got]) > 0.97
+    held = sc.findings_table(spark, sc.labelled_findings(800, seed=77))
+    got = held.select("label", F.expr(sc.forest_sql(spark)).alias("p")).collect()
+    assert np.mean([(r.p >= 0.5) == bool(r.label) for r in got]) > 0.96
+
+
+def test_forest_in_sql_is_that_of_spark(spark):
+    model = sc.fit_model(spark, sc.labelled_findings(600, seed=5))
+    held = sc.findings_table(spark, sc.labelled_findings(300, seed=6))
+    both_ = model.transform(held.withColumn("p", F.expr(sc.forest_as_sql(model)))).select("p", "probability").collect()
+    assert np.allclose([r.p for r in both_], [r.probability[1] for r in both_], atol=1e-5)
+
+
+def test_findings_from_a_table(spark):
+    """Findings of another kind than the built-in ones: what stands after a candidate decides."""
+    r = random.Random(8)
+    made = [(f"{'x' if i % 2 else 'y'}-{r.randrange(10**18):018d}", "key = ", " commit" if i % 2 else " here", None, 1 - i % 2) for i in range(300)]
+    table = spark.createDataFrame([*made, (None, "", "", "", 1), ("q" * 20, "", "", "", None)], "c string, b string, a string, p string, label int")
+    texts = [(1, "key = z-123456789012345678 commit"), (2, "key = z-123456789012345678 here")]
+    got = {x.doc_id: len(x.secrets) for x in sc.scan(spark.createDataFrame(texts, "doc_id long, text string"), table).collect()}
+    assert got == {1: 0, 2: 1}
 
 
 def test_secrets_of_the_table(spark):
