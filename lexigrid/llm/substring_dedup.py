@@ -7,9 +7,9 @@ are folded by a combining aggregate, with their smallest document, so copies rea
 
 Partition.  Each suffix of the folded spans is a row: the hashes of its words 1-8, 9-22, 23-36 and 37-50, its span and
 that span's smallest document.  Suffixes are dealt to trees by their prefix.  A prefix of 8 words with more than
-``PREFIX_SUFFIXES`` suffixes grows to 22 words, then 36, then 50; what is dealt to one task are about
-``GROUP_SUFFIXES`` suffixes of whole prefixes, so a task's trees fit in its memory at any size of the corpus.  Below a
-prefix of 50 words that is still too common there is only one node, and its smallest document is an aggregate.
+a task's share of suffixes grows to 22 words, then 36, then 50; a share is ``GROUP_SUFFIXES`` at most, and what is dealt
+to one task are whole prefixes, so a task's trees fit in its memory at any size of the corpus.  Below a prefix of 50
+words that is still too common there is only one node, and its smallest document is an aggregate.
 
 Tree.  A task orders its suffixes (suffix array), takes the depth that each shares with the one before it (LCP array),
 and makes the internal nodes from the intervals of suffixes that share a depth.  The nodes WINDOW words deep are the
@@ -32,7 +32,7 @@ from lexigrid.llm.common import keyed_text, parallelism, sized, slices, stage, t
 WINDOW, GRAM = 50, 8
 #: Words of a prefix, as it grows; the last is the depth of the nodes that are sought.
 DEPTHS = (8, 22, 36, WINDOW)
-#: Window starts of a span; suffixes that one task orders; suffixes of a prefix before it grows.
+#: Window starts of a span; suffixes that one task orders; a prefix of fewer suffixes never grows.
 SPAN, GROUP_SUFFIXES, PREFIX_SUFFIXES = 64, 500_000, 4096
 #: Rows that a Python worker hands back at a time.
 OUT_ROWS = 100_000
@@ -206,9 +206,12 @@ def _joined(sid: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["sid", "a", "z"])
 
 
-def repeat_starts(suffixes: DataFrame, prefix_suffixes: int = PREFIX_SUFFIXES, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def repeat_starts(suffixes: DataFrame, prefix_suffixes: int | None = None, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """(sid, a, z) from staged suffix rows: grows prefixes until their suffixes fit, deals them out, builds the trees."""
-    spark, left, dealt = suffixes.sparkSession, suffixes, None
+    left, dealt, total = suffixes, None, suffixes.count()
+    groups = max(parallelism(suffixes.sparkSession), total // group_suffixes + 1)
+    if prefix_suffixes is None:
+        prefix_suffixes = max(PREFIX_SUFFIXES, total // groups)
     for level in range(len(DEPTHS)):
         prefix = _LEVELS[: level + 1]
         sizes = left.groupBy(*prefix).agg(F.count("*").alias("n"))
@@ -220,7 +223,6 @@ def repeat_starts(suffixes: DataFrame, prefix_suffixes: int = PREFIX_SUFFIXES, g
         left = None if none else left.join(sized(wide, 8 * len(prefix)), prefix, "left_semi")
         if none:
             break
-    groups = max(parallelism(spark), suffixes.count() // group_suffixes + 1)
     found = dealt.repartition(groups, "prefix").drop("prefix").mapInArrow(_trees, "sid long, a int, z int")
     if left is None:
         return found
@@ -233,7 +235,7 @@ def repeat_starts(suffixes: DataFrame, prefix_suffixes: int = PREFIX_SUFFIXES, g
 _RUNS = "array<struct<a:int,z:int>>"
 
 
-def repeats(docs: DataFrame, prefix_suffixes: int = PREFIX_SUFFIXES, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def repeats(docs: DataFrame, prefix_suffixes: int | None = None, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """(doc_id, tid, at, runs): runs [a, z) of the windows from word ``at`` on that a smaller document has too."""
     every = stage(spans(docs), "spans")
     shared = every.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
@@ -285,7 +287,7 @@ def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(
-    docs: DataFrame, prefix_suffixes: int = PREFIX_SUFFIXES, group_suffixes: int = GROUP_SUFFIXES
+    docs: DataFrame, prefix_suffixes: int | None = None, group_suffixes: int = GROUP_SUFFIXES
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the text without words under a window that an earlier document has.
 

@@ -53,8 +53,7 @@ def test_planted_repeats(spark, seed, monkeypatch):
         made.append((d, " ".join(text)))
     r.shuffle(made)
     df = spark.createDataFrame(made, "doc_id long, text string")
-    for shape in SHAPES:
-        assert ours(df, **shape) == plain(made)
+    assert ours(df, **SHAPES[seed]) == plain(made)
 
 
 def test_shuffled_joins(spark, docs, monkeypatch):
