@@ -11,6 +11,8 @@ THAI, CONSONANT, CJK = r"฀-๿", r"ก-ฮ", r"㐀-鿿"
 SPACE_ENTITY = r"(?i)(?:&#x0*20;|&#0*32;|&nbsp;)"
 PAGE_MARKER = r"(?U)【第\s*\d+\s*页】"
 NUMBER = r"(?U)(\d+(?:[.,]\d+)*%?)"
+# ASCII, Latin-1 letters but the sharp s, common CJK, and Thai but the vowel that normalization takes apart, end to end
+PLAIN_KEY = r"^[\x00-\x1B\x20-\x7FÀ-ÖØ-Þà-öø-ÿ一-鿿ก-าิ-ฺเ-๛]*+\z"
 BULLET = r"^[❖◆◇•●▪▫◊✓✔☑➢➤►]"
 TIMED_STEP = rf"(?U)^\(\s*\d+\s+[A-Za-z{THAI}{CJK}]+\s*\)"
 MISSING_NUMBERS, TOO_SHORT = "请复核数字：译文中未找到 ", "译文长度明显偏短，可能存在漏译"
@@ -36,12 +38,20 @@ def squeeze(x) -> Column:
 
 
 def glossary_key(x) -> Column:
-    """Key of a term: trimmed, case-folded, spaces collapsed.
+    """Key of a term: compatibility-normalized, trimmed, case-folded, spaces collapsed.
 
-    Case folding beyond lower case is that of the sharp s; text needing compatibility normalization goes through
-    ``lexigrid.functions.unicode_udf.glossary_key_exact`` once, when it is stored.
+    Text of characters that neither normalization nor folding changes beyond lower case stays in the JVM; only other
+    text goes to the vectorized function.
     """
-    return collapse(F.replace(F.lower(strip(x)), F.lit("ß"), F.lit("ss")))
+    own = _c(x)
+    plain = own.rlike(PLAIN_KEY)
+    return F.when(plain, collapse(F.lower(strip(own)))).otherwise(_exact_key(F.when(~plain, own)))
+
+
+def _exact_key(x) -> Column:
+    from lexigrid.functions.unicode_udf import glossary_key_exact
+
+    return glossary_key_exact(x)
 
 
 def translation_text(x) -> Column:

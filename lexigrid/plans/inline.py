@@ -102,6 +102,15 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "page int, x0 double, y0 double, x1 double, y1 double",
         [(1, 0.0, 0.0, 160.0, 30.0), (1, 0.0, 0.0, 110.0, 25.0), (2, 0.0, 0.0, 80.0, 40.0), (2, 190.0, 190.0, 400.0, 230.0)],
     ),
+    "fragments": (
+        "page int, id int, text string, score double, x0 double, y0 double, x1 double, y1 double",
+        [
+            (1, 1, "อาคารสำนักงานใหญ่", 0.95, 10.0, 10.0, 210.0, 30.0), (1, 2, "อาคาร", 0.5, 40.0, 32.0, 100.0, 45.0), (1, 3, "ผนง", 0.5, 40.0, 32.0, 100.0, 45.0),
+            (1, 4, "ผ", 0.5, 90.0, 42.0, 120.0, 60.0), (1, 5, "plan", 0.9, 40.0, 32.0, 100.0, 45.0), (1, 6, "อาคาร", 0.5, 400.0, 32.0, 460.0, 45.0),
+            (2, 7, "อาคารสำนักงานใหญ่", 0.95, 200.0, 10.0, 400.0, 30.0), (2, 8, "อาคาร", 0.5, 240.0, 32.0, 300.0, 45.0),
+            (3, 9, "อาคารสำนักงานใหญ่", 0.80, 10.0, 10.0, 210.0, 30.0), (3, 10, "อาคาร", 0.5, 40.0, 32.0, 100.0, 45.0),
+        ],
+    ),
     "rules": (
         "page int, axis string, pos double, lo double, hi double",
         [

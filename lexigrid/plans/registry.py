@@ -435,9 +435,12 @@ def band_neighbors(spark, sf):
     return spatial.next_to_neighbor(boxed(frame(spark, "boxes")), "page", "id").select("id")
 
 
-@query("SELECT * FROM (VALUES (1), (3), (5)) AS t(id) WHERE id = 3")
+@query(f"""SELECT DISTINCT a.id FROM @boxes a JOIN @covers b ON a.page = b.page WHERE {INTER} / greatest(1, {AREA.format('a')}) >= 0.90 OR (
+{INTER} / greatest(1, {AREA.format('a')}) >= 0.30 AND greatest(1, {AREA.format('a')}) <= greatest(1, {AREA.format('b')}) * 0.65
+AND (a.x0 + a.x1) / 2 BETWEEN b.x0 - greatest(2, (b.x1 - b.x0) * 0.04) AND b.x1 + greatest(2, (b.x1 - b.x0) * 0.04)
+AND (a.y0 + a.y1) / 2 BETWEEN b.y0 - greatest(2, (b.y1 - b.y0) * 0.55) AND b.y1 + greatest(2, (b.y1 - b.y0) * 0.55))""")
 def covered_fragments(spark, sf):
-    return spatial.covered_by_translation(boxed(frame(spark, "boxes")).where("id in (3, 4, 5)"), boxed(frame(spark, "covers")).where("idx = 1"), "page", "id")
+    return spatial.covered_by_translation(boxed(frame(spark, "boxes")), boxed(frame(spark, "covers")), "page", "id")
 
 
 EMB = "SELECT vec_id % 20 AS page, vec_id AS id, 100 * abs(embedding[1]) AS x0, 100 * abs(embedding[2]) AS y0, 100 * abs(embedding[1]) + 5 + 40 * abs(embedding[3]) AS x1, 100 * abs(embedding[2]) + 5 + 40 * abs(embedding[4]) AS y1 FROM embeddings"
@@ -457,14 +460,48 @@ def vector_box_overlaps(spark, sf):
     return met.groupBy(F.col("a.page").alias("page")).agg(F.count("*").alias("n"))
 
 
-@query()
+BOXES = EMB.replace("embedding[", "CAST(embedding[").replace("])", "] AS DOUBLE))")
+HELD = """greatest(least({0}.x1, {1}.x1) - greatest({0}.x0, {1}.x0), 0) * greatest(least({0}.y1, {1}.y1) - greatest({0}.y0, {1}.y0), 0)
+ / greatest(1, least(({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0), ({1}.x1 - {1}.x0) * ({1}.y1 - {1}.y0)))"""
+
+
+@query(f"""WITH RECURSIVE e AS ({BOXES}), s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, id) AS i FROM e),
+f AS (SELECT page, i, true AS stays, id, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS kept FROM s WHERE i = 1 UNION ALL
+ SELECT page, i, stays, id, CASE WHEN stays THEN list_append(kept, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) ELSE kept END FROM
+ (SELECT s.*, f.kept, len(list_filter(f.kept, lambda k: {HELD.format('s', 'k')} >= 0.70)) = 0 AS stays FROM f JOIN s ON s.page = f.page AND s.i = f.i + 1))
+SELECT e.* FROM f JOIN e USING (page, id) WHERE stays""")
 def nms_dedup(spark, sf):
     return spatial.suppress(_vector_boxes(spark, sf), "page", ["-area", "id"], spatial.SEEDS)
 
 
-@query()
+@query(f"""WITH e AS (SELECT *, CAST(id * 37 % 180 AS DOUBLE) AS angle, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM ({BOXES})),
+m AS (SELECT a.page, a.id AS seed, b.id, b.x0, b.y0, b.x1, b.y1, b.angle FROM e a JOIN e b ON a.page = b.page AND abs(a.cx - b.cx) <= 8 AND abs(a.cy - b.cy) <= 8),
+k AS (SELECT seed FROM m GROUP BY page, seed HAVING count(*) >= 4 AND max(angle) - min(angle) >= 70 AND max(x1) - min(x0) <= least(180, 600 * 0.1) AND max(y1) - min(y0) <= least(180, 800 * 0.1))
+SELECT DISTINCT m.id FROM m JOIN k USING (seed)""")
+def ring_members(spark, sf):
+    lines = boxed(_vector_boxes(spark, sf)).withColumn("angle", (F.col("id") * 37 % 180).cast("double"))
+    return spatial.ring_members(lines, "page", "id", 600.0, 800.0, reach=8, least=4)
+
+
+STROKES = "SELECT l_orderkey // 16 AS page, l_quantity / 4 AS pos, CAST(l_partkey % 400 AS DOUBLE) AS lo, l_partkey % 400 + l_quantity AS hi FROM lineitem"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos, lo, hi) AS i FROM (SELECT page, CAST(pos AS DOUBLE) AS pos, lo, CAST(hi AS DOUBLE) AS hi FROM ({STROKES}))),
+f AS (SELECT page, i, [{{'head': pos, 'total': pos, 'n': 1, 'lo': lo, 'hi': hi}}] AS g FROM s WHERE i = 1 UNION ALL
+ SELECT page, i, CASE WHEN k IS NULL THEN list_append(g, {{'head': pos, 'total': pos, 'n': 1, 'lo': lo, 'hi': hi}}) ELSE list_transform(g, lambda x, j:
+  CASE WHEN j = k THEN {{'head': x.head, 'total': x.total + pos, 'n': x.n + 1, 'lo': least(x.lo, lo), 'hi': greatest(x.hi, hi)}} ELSE x END) END FROM
+ (SELECT s.*, f.g, list_max(list_filter(list_transform(f.g, lambda x, j: CASE WHEN s.pos - x.head <= 1.2 AND s.lo <= x.hi + 4 AND s.hi >= x.lo - 4 THEN j END), lambda j: j IS NOT NULL)) AS k
+  FROM f JOIN s ON s.page = f.page AND s.i = f.i + 1)),
+l AS (SELECT page, unnest(g) AS x FROM f WHERE i = (SELECT max(i) FROM s WHERE s.page = f.page))
+SELECT page, round(x.total / x.n, 6) AS pos, x.lo AS lo, x.hi AS hi FROM l WHERE x.hi - x.lo >= 16 OR x.n >= 2""")
 def grid_rule_merge(spark, sf):
-    return spatial.merge_rules(frame(spark, "rules").where("axis = 'h'").drop("axis"), "page", 600.0)
+    rules = table(spark, sf, "lineitem").selectExpr("l_orderkey div 16 as page", "l_quantity / 4 as pos", "l_partkey % 400 as lo", "l_partkey % 400 + l_quantity as hi")
+    return spatial.merge_rules(rules, "page", 600.0).withColumn("pos", F.round("pos", 6))
+
+
+@query()
+def phrase_fragments(spark, sf):
+    return similar.fragments_of_phrases(frame(spark, "fragments"), "page", "id", 600.0)
 
 
 @query("SELECT * FROM (VALUES (1, CAST(2 AS DOUBLE)), (2, NULL)) AS t(key, \"offset\")")

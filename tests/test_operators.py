@@ -122,4 +122,48 @@ def test_reading_scores_and_groups(spark):
 
 def test_fragments_of_phrases(spark):
     df = spark.createDataFrame([(1, 1, "กขคงจฉชซฌ", 0.9, 0.0, 0.0, 400.0, 20.0), (1, 2, "กขค", 0.5, 10.0, 5.0, 60.0, 30.0), (1, 3, "ฮฮฮ", 0.5, 10.0, 5.0, 60.0, 30.0)], "page int, id int, text string, score double, x0 double, y0 double, x1 double, y1 double")
-    assert rows(similar.fragments_of_phrases(df, "page", "id")) == [(2,)]
+    assert rows(similar.fragments_of_phrases(df, "page", "id", 600.0)) == [(2,)]
+
+
+def test_fragments_against_a_plain_version(spark):
+    """All pairs of a page, the phrase only in the outer 15 % of it."""
+    from difflib import SequenceMatcher
+
+    import re
+
+    from lexigrid.plans.inline import TABLES
+    from lexigrid.plans.registry import QUERIES
+
+    want = set()
+    own = [dict(zip(("page", "id", "text", "score", "x0", "y0", "x1", "y1"), r, strict=True)) for r in TABLES["fragments"][1]]
+    thai, cons = (lambda t: re.findall("[\u0e00-\u0e7f]", t)), (lambda t: "".join(re.findall("[\u0e01-\u0e2e]", t)))
+    for f in own:
+        for q in own:
+            w, h, qw, qh = f["x1"] - f["x0"], f["y1"] - f["y0"], q["x1"] - q["x0"], q["y1"] - q["y0"]
+            phrase = len(thai(q["text"])) >= 8 and q["score"] >= 0.85 and qw >= 3 * qh and (q["x0"] <= 90 or q["x1"] >= 510)
+            if not phrase or f is q or f["page"] != q["page"] or not 0 < len(thai(f["text"])) < len(thai(q["text"])):
+                continue
+            if min(f["x1"], q["x1"]) - max(f["x0"], q["x0"]) < w * 0.6 or w > qw * 0.45 or f["y0"] < q["y0"] - qh * 0.5 or f["y1"] > q["y1"] + qh * 3.5:
+                continue
+            a, b = cons(f["text"]), cons(q["text"])
+            met = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+            known = sum(c in thai(q["text"]) for c in thai(f["text"])) / len(thai(f["text"]))
+            arc = w <= qw * 0.25 and h <= qh * 1.75 and f["x0"] >= q["x0"] + qw * 0.18 and f["x1"] <= q["x1"] - qw * 0.18
+            arc = arc and q["y1"] + qh * 0.45 <= f["y0"] and f["y1"] <= q["y1"] + qh * 3.75
+            if known >= 0.7 and met / max(1, len(a)) >= 0.65 or arc:
+                want.add(f["id"])
+    assert {r.id for r in QUERIES["phrase_fragments"](spark, "").collect()} == want == {2, 4}
+
+
+def test_glossary_key_is_normalized_and_folded(spark):
+    import unicodedata
+
+    from lexigrid.functions import text as tx
+
+    texts = ["ＰＩＰＥ　ｔｒｅａｔｍｅｎｔ", "ﬁre Straße", "ÀÉ ö x\t y ", "น้ำ ทำ", "①½ ²", "ΑΣ İI", "建筑 图纸", "", None, "a\x1cb", "\u00a0x\u3000", "µ", "가", "x" * 5000 + "Ǆ"]
+    got = {r.text: r.k for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", tx.glossary_key("text").alias("k")).collect()}
+    assert got == {t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).strip().casefold().split()) for t in texts}
+    every = [chr(c) for c in range(0x20, 0x3000) if chr(c).isprintable()]
+    df = spark.createDataFrame([(i, "a" + c + "b") for i, c in enumerate(every)], "i int, text string")
+    for r in df.select("text", tx.glossary_key("text").alias("k")).collect():
+        assert r.k == " ".join(unicodedata.normalize("NFKC", r.text).strip().casefold().split()), repr(r.text)
