@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lexigrid.llm.common import keyed_text, slices, table
+from lexigrid.llm.common import bounded_batches, keyed_text, slices, table
 
 SHORT = 48
 CACHE = 400_000
@@ -266,4 +266,5 @@ def vocabulary_path() -> str:
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     """Every row of documents, encoded and decoded.  Odd rows as in round_trip_digests."""
+    bounded_batches(spark)
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())

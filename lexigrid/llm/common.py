@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-#: What a Python worker takes up at a time where rows hold whole texts.  Spark bounds the bytes of the batches it sends.
+#: What a Python worker takes up at a time where rows hold whole texts.  Spark bounds the bytes of the batches it sends, too.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 500
+#: What Spark sends a worker at a time, where a registered query or stage asks for it.
+BATCH_BYTES = 4 << 20
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -89,6 +91,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield b.slice(at)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """For the registered queries and stages: Spark sends workers batches of BATCH_BYTES at most, by their size.
+
+    A session's setting, so operators leave it alone; a smaller one that is set already stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(name).lower())
+    if not now or int(now[1]) << {"k": 10, "m": 20, "g": 30}.get(now[2], 0) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

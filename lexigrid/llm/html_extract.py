@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import slices, table
+from lexigrid.llm.common import bounded_batches, slices, table
 
 # Element names of HTML, by what they do to text.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "select")
@@ -462,4 +462,5 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:
     """Every row of pages with its main text.  Odd rows as in extract."""
+    bounded_batches(spark)
     return extract(table(spark, sf_dir, "pages"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, least_hashed, slices, table
+from lexigrid.llm.common import bounded_batches, keyed_text, least_hashed, slices, table
 
 ORDER = 4
 #: Documents of each language that are sampled; every CALIBRATION_PART-th is calibrated on, the rest fitted on.
@@ -288,6 +288,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     """Every row of documents, by models of the languages outside the held-out fold.  Odd rows as in identify."""
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     fold = "crc32(cast(doc_id as string)) % 3"
     models = train(docs.where(f"{fold} <> 1").select("doc_id", "text", "lang"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, slices, table
+from lexigrid.llm.common import bounded_batches, keyed_text, slices, table
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -167,6 +167,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Every row of documents with its counts and verdicts.  Odd rows as in judge."""
+    bounded_batches(spark)
     out = judge(table(spark, sf_dir, "documents"), stats=True)
     return out.select("doc_id", *_STATS, "base_failed", "kept")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, parallelism, slices, stage, table, without
+from lexigrid.llm.common import bounded_batches, keyed_text, parallelism, slices, stage, table, without
 from lexigrid.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -130,6 +130,7 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """Every row of documents with its fingerprint and component.  Odd rows as in near_duplicates."""
+    bounded_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

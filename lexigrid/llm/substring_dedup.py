@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, parallelism, sized, slices, stage, table, unstage
+from lexigrid.llm.common import bounded_batches, keyed_text, parallelism, sized, slices, stage, table, unstage
 
 WINDOW, GRAM = 50, 8
 #: Words of a prefix, as it grows; the last is the depth of the nodes that are sought.
@@ -309,5 +309,6 @@ def remove_repeats(
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of documents: words, words removed, and the digest of those kept.  Odd rows as in remove_repeats."""
+    bounded_batches(spark)
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import keyed_text, least_hashed, slices, table
+from lexigrid.llm.common import bounded_batches, keyed_text, least_hashed, slices, table
 
 P, GAP, DECAY = 5, 1, 0.6
 LANDMARKS, CLEAN_LANDMARKS, ROUNDS = 72, 24, 3
@@ -343,6 +343,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every row of documents, scored by a machine trained on labels outside the held-out fold.  Odd rows as in score."""
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     fold = "crc32(cast(doc_id as string)) % 5"
     machine = fit(docs, table(spark, sf_dir, "labels").where(f"{fold} <> 0"))

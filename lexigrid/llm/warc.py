@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import fresh_path, parallelism, slices, stage, table
+from lexigrid.llm.common import bounded_batches, fresh_path, parallelism, slices, stage, table
 
 FILE_BYTES = 32 << 20
 BLOCK = 1 << 20
@@ -372,6 +372,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     """Every row of pages, written and read back; a record that is lost on the way is an error.  Odd rows as in with_revisits."""
+    bounded_batches(spark)
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType.simpleString()
     folder = fresh_path(spark, "warc")
