@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigrid.llm import bpe, decontaminate, quality, secrets, simhash
-from lexigrid.llm.common import stage, table
+from lexigrid.llm.common import bounded_batches, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go, null and empty texts among them; rows alike go or stay together."""
+    bounded_batches(spark)
     return quality.keep_good(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest doc_id; rows of a null doc_id stay."""
+    bounded_batches(spark)
     return simhash.keep_first(docs)
 
 
@@ -34,6 +36,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document: its tokens, and the digests of its ids and of the decoded text; null texts have no token."""
+    bounded_batches(spark)
     return bpe.round_trip_digests(docs, bpe.vocabulary_path())
 
 
