@@ -54,3 +54,20 @@ def retry_delay(retry_after: Column, attempt: Column, base: float) -> Column:
 def to_export(history: DataFrame, target: str = "zh", suffix: str = ".pdf") -> DataFrame:
     """Rows whose export is rebuilt, oldest first."""
     return history.where((F.col("target_language") == target) & F.col("export_filename").like(f"%{suffix}")).orderBy("created_at", "id")
+
+
+def merge_metadata(old: Column, new: Column) -> Column:
+    """One map of both: the new value of a key that both have; a null map is empty."""
+    none = F.expr("cast(map() as map<string,string>)")
+    old, new = F.coalesce(old, none), F.coalesce(new, none)
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
+def utc_text(ts) -> Column:
+    """A time as ISO-8601 text in UTC with microseconds, which sorts as the time does."""
+    return F.concat(F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Milliseconds between two times in seconds, rounded half to even."""
+    return F.bround((end - start) * 1000).cast("bigint")

@@ -135,3 +135,8 @@ def segment_route() -> Column:
     visual = F.coalesce("visual", F.lit(False)) | F.col("source_kind").isin("ocr", "visual")
     outline = visual & (F.coalesce("engine", F.lit("")) == "outline")
     return F.when(outline, "outline").when(visual, "layout").when(F.coalesce("engine", F.lit("")) == "text-layer", "text_layer").otherwise("native")
+
+
+def pages_with_text(pages: DataFrame, route_: str, text: str) -> DataFrame:
+    """Pages of a document in parts that are not scanned and have text."""
+    return pages.where((F.col(route_) != "scanned_image") & (strip(F.coalesce(text, F.lit(""))) != ""))

@@ -216,3 +216,28 @@ def merge_fragments(lines: DataFrame) -> DataFrame:
         return done[list(rows.columns)]
 
     return lines.groupBy("page").applyInPandas(one, lines.schema)
+
+
+def translated(rows: DataFrame, done: DataFrame, part: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows that have a translation, which is stripped and not blank, with their place in order; the others go."""
+    own = done.select(*part, *order, strip(value).alias(value)).where(F.col(value) != "")
+    return rows.join(own, [*part, *order]).withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
+
+
+def last_by_part(rows: DataFrame, prefix: str, ident: str, value: str, seq: str) -> DataFrame:
+    """(part, paragraph, value): of ids ``prefix`` part ``:`` paragraph the value that comes last; other ids go."""
+    own = rows.where(F.col(ident).startswith(prefix)).withColumn("_r", F.substring(ident, len(prefix) + 1, 1 << 30))
+    own = own.where(F.col("_r").rlike(r"^.+:\d{1,18}$"))
+    part, paragraph = F.regexp_extract("_r", r"^(.+):\d+$", 1), F.regexp_extract("_r", r":(\d+)$", 1).cast("bigint")
+    return own.groupBy(part.alias("part"), paragraph.alias("paragraph")).agg(F.max_by(value, seq).alias(value))
+
+
+def side_by_side(rows: DataFrame, keys: list[str], expected: str, baseline: str) -> DataFrame:
+    """(keys, place from 1, expected, baseline): what stands at the same place of two arrays, null beyond the second."""
+    out = rows.select(*keys, baseline, F.posexplode(expected).alias("_i", "_e"))
+    return out.select(*keys, (F.col("_i") + 1).alias("place"), F.col("_e").alias(expected), F.get(baseline, F.col("_i")).alias(baseline))
+
+
+def pages_apart(rows: DataFrame, others: DataFrame, page: str) -> DataFrame:
+    """The pages of ``rows`` that ``others`` lacks, each once."""
+    return rows.select(page).distinct().join(others.select(page), page, "left_anti")

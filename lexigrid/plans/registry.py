@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import geometry as g
@@ -10,31 +9,11 @@ from lexigrid.functions import language as lang
 from lexigrid.functions import text as tx
 from lexigrid.functions import unicode_udf as uni
 from lexigrid.operators import glossary, history, layout, provider, reports, responses, routing, segments, similar, spatial
-from lexigrid.plans.inline import fill, frame
+from lexigrid.plans import cases  # noqa: F401, registers its queries
+from lexigrid.plans.base import BOXES, EMB, HELD, ORACLES, QUERIES, boxed, query, table, vector_boxes  # noqa: F401
+from lexigrid.plans.inline import frame
 from lexigrid.sources import files
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = fill(sql)
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def boxed(df: DataFrame) -> DataFrame:
-    return df.withColumn("bbox", g.box("x0", "y0", "x1", "y1"))
-
-
 KEY = r"regexp_replace(replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), 'ß', 'ss'), '\s+', ' ', 'g')"
 DOC_KEY, ITEM_KEY = KEY.format("d.text"), KEY.format("b.text")
 PAIRS = f"""
@@ -443,35 +422,21 @@ def covered_fragments(spark, sf):
     return spatial.covered_by_translation(boxed(frame(spark, "boxes")), boxed(frame(spark, "covers")), "page", "id")
 
 
-EMB = "SELECT vec_id % 20 AS page, vec_id AS id, 100 * abs(embedding[1]) AS x0, 100 * abs(embedding[2]) AS y0, 100 * abs(embedding[1]) + 5 + 40 * abs(embedding[3]) AS x1, 100 * abs(embedding[2]) + 5 + 40 * abs(embedding[4]) AS y1 FROM embeddings"
-
-
-def _vector_boxes(spark, sf):
-    e = lambda i: F.abs(F.col("embedding")[i].cast("double"))
-    v = table(spark, sf, "embeddings").select((F.col("vec_id") % 20).alias("page"), F.col("vec_id").alias("id"), (100 * e(0)).alias("x0"), (100 * e(1)).alias("y0"), (100 * e(0) + 5 + 40 * e(2)).alias("x1"), (100 * e(1) + 5 + 40 * e(3)).alias("y1"))
-    return v
-
-
 @query("WITH e AS (" + EMB.replace("embedding[", "CAST(embedding[").replace("])", "] AS DOUBLE))").replace("] AS DOUBLE))", "] AS DOUBLE))") + f""")
 SELECT a.page, count(*) AS n FROM e a JOIN e b ON a.page = b.page AND a.id < b.id WHERE {INTER} / greatest(1, least({AREA.format('a')}, {AREA.format('b')})) >= 0.55 GROUP BY a.page""")
 def vector_box_overlaps(spark, sf):
-    a, b = boxed(_vector_boxes(spark, sf)).alias("a"), boxed(_vector_boxes(spark, sf)).alias("b")
+    a, b = boxed(vector_boxes(spark, sf)).alias("a"), boxed(vector_boxes(spark, sf)).alias("b")
     met = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.id") < F.col("b.id")) & (g.overlap(F.col("a.bbox"), F.col("b.bbox")) >= 0.55))
     return met.groupBy(F.col("a.page").alias("page")).agg(F.count("*").alias("n"))
 
 
-BOXES = EMB.replace("embedding[", "CAST(embedding[").replace("])", "] AS DOUBLE))")
-HELD = """greatest(least({0}.x1, {1}.x1) - greatest({0}.x0, {1}.x0), 0) * greatest(least({0}.y1, {1}.y1) - greatest({0}.y0, {1}.y0), 0)
- / greatest(1, least(({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0), ({1}.x1 - {1}.x0) * ({1}.y1 - {1}.y0)))"""
-
-
 @query(f"""WITH RECURSIVE e AS ({BOXES}), s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, id) AS i FROM e),
 f AS (SELECT page, i, true AS stays, id, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS kept FROM s WHERE i = 1 UNION ALL
  SELECT page, i, stays, id, CASE WHEN stays THEN list_append(kept, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) ELSE kept END FROM
  (SELECT s.*, f.kept, len(list_filter(f.kept, lambda k: {HELD.format('s', 'k')} >= 0.70)) = 0 AS stays FROM f JOIN s ON s.page = f.page AND s.i = f.i + 1))
 SELECT e.* FROM f JOIN e USING (page, id) WHERE stays""")
 def nms_dedup(spark, sf):
-    return spatial.suppress(_vector_boxes(spark, sf), "page", ["-area", "id"], spatial.SEEDS)
+    return spatial.suppress(vector_boxes(spark, sf), "page", ["-area", "id"], spatial.SEEDS)
 
 
 @query(f"""WITH e AS (SELECT *, CAST(id * 37 % 180 AS DOUBLE) AS angle, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM ({BOXES})),
@@ -479,7 +444,7 @@ m AS (SELECT a.page, a.id AS seed, b.id, b.x0, b.y0, b.x1, b.y1, b.angle FROM e
 k AS (SELECT seed FROM m GROUP BY page, seed HAVING count(*) >= 4 AND max(angle) - min(angle) >= 70 AND max(x1) - min(x0) <= least(180, 600 * 0.1) AND max(y1) - min(y0) <= least(180, 800 * 0.1))
 SELECT DISTINCT m.id FROM m JOIN k USING (seed)""")
 def ring_members(spark, sf):
-    lines = boxed(_vector_boxes(spark, sf)).withColumn("angle", (F.col("id") * 37 % 180).cast("double"))
+    lines = boxed(vector_boxes(spark, sf)).withColumn("angle", (F.col("id") * 37 % 180).cast("double"))
     return spatial.ring_members(lines, "page", "id", 600.0, 800.0, reach=8, least=4)
 
 
