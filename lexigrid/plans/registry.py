@@ -72,7 +72,10 @@ def glossary_directions(spark, sf):
     return glossary.directional_entries(_items(spark)).select("source_language", "target_language", "source_normalized", "translated_text", "seq")
 
 
-@query("SELECT CAST(8 AS BIGINT) AS total, CAST(2 AS BIGINT) AS invalid, CAST(3 AS BIGINT) AS inserted, CAST(3 AS BIGINT) AS updated")
+@query(f"""WITH v AS (SELECT *, coalesce(lower(trim(source_language)) IN ('zh', 'th', 'en') AND lower(trim(target_language)) IN ('zh', 'th', 'en') AND lower(trim(source_language)) <> lower(trim(target_language))
+ AND 'th' IN (lower(trim(source_language)), lower(trim(target_language))) AND length(trim(source_text)) BETWEEN 1 AND {glossary.MAX_SOURCE} AND length(trim(translated_text)) BETWEEN 1 AND {glossary.MAX_TRANSLATION}, false) AS ok FROM @imports),
+c AS (SELECT count(*) AS total, count(*) FILTER (NOT ok) AS invalid, count(DISTINCT CASE WHEN source_language = 'th' THEN trim(source_text) ELSE trim(translated_text) END) FILTER (ok) AS inserted FROM v)
+SELECT *, total - invalid - inserted AS updated FROM c""")
 def glossary_import_counts(spark, sf):
     return glossary.import_counts(frame(spark, "imports"))
 
@@ -334,7 +337,8 @@ def replacement_rows(spark, sf):
     return segments.replace_rows(rows, new, "n_nationkey")
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true)) AS t(id, ok)")
+@query(r"""SELECT id, list_filter(a, lambda c: NOT regexp_full_match(c, '\s*')) = list_filter(b, lambda c: NOT regexp_full_match(c, '\s*')) AS ok
+FROM (VALUES (1, ['a', ' ', 'b'], ['a', 'b', ' ']), (2, ['a', 'b'], ['b', 'a']), (3, [' '], CAST([] AS VARCHAR[]))) AS t(id, a, b)""")
 def character_mapping(spark, sf):
     rows = spark.createDataFrame([(1, list("a b"), list("ab ")), (2, list("ab"), list("ba")), (3, [" "], [])], "id int, a array<string>, b array<string>")
     return rows.select("id", segments.positions_agree(F.col("a"), F.col("b")).alias("ok"))
@@ -482,16 +486,22 @@ def tile_grid(spark, sf):
     return spatial.tiles(pages, "grid").select("id", "tile", F.col("clip.x0").alias("x0"), F.col("clip.y1").alias("y1"))
 
 
-@query("SELECT * FROM (VALUES (1, '0'), (2, '0,800,1600,1700'), (3, '0,900,1000')) AS t(id, starts)")
+@query("""SELECT id, CASE WHEN n <= side THEN '0' ELSE array_to_string(list_sort(list_distinct(list_append(range(0, n - side + 1, greatest(1, side - greatest(0, least(side - 1, o)))), n - side))), ',') END AS starts
+FROM (VALUES (1, 900, 1000, 100), (2, 2700, 1000, 200), (3, 2000, 1000, 100)) AS t(id, n, side, o)""")
 def tile_offsets(spark, sf):
     rows = spark.createDataFrame([(1, 900, 1000, 100), (2, 2700, 1000, 200), (3, 2000, 1000, 100)], "id int, n int, side int, o int")
     return rows.select("id", F.array_join(g.tile_offsets("n", "side", "o").cast("array<string>"), ",").alias("starts"))
 
 
-@query("SELECT * FROM (VALUES (1, 0), (2, 90), (3, 180), (4, 270), (5, NULL)) AS t(id, rotation)")
+@query(f"""SELECT id, CASE WHEN abs(a - t) <= 1.5 THEN CAST(t % 360 AS INTEGER) END AS rotation FROM (SELECT *, round(a / 90) * 90 AS t FROM
+(SELECT vec_id AS id, (degrees(atan2(CASE vec_id % 4 WHEN 1 THEN x ELSE y END, CASE vec_id % 4 WHEN 0 THEN x WHEN 1 THEN y / 100 ELSE x END)) + 360) % 360 AS a FROM
+(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) / CASE vec_id % 4 WHEN 0 THEN 100 ELSE 1 END AS y FROM embeddings)))""")
 def rotations(spark, sf):
-    rows = spark.createDataFrame([(1, 1.0, 0.01), (2, 0.0, 1.0), (3, -1.0, 0.0), (4, 0.0, -1.0), (5, 1.0, 1.0)], "id int, dx double, dy double")
-    return rows.select("id", g.cardinal_rotation("dx", "dy").alias("rotation"))
+    e = lambda i: F.col("embedding")[i].cast("double")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("k"), e(0).alias("x"), e(1).alias("y"))
+    y = F.when(F.col("k") == 0, F.col("y") / 100).otherwise(F.col("y"))
+    dy, dx = F.when(F.col("k") == 1, F.col("x")).otherwise(y), F.when(F.col("k") == 1, y / 100).otherwise(F.col("x"))
+    return rows.select("id", g.cardinal_rotation(dx, dy).alias("rotation"))
 
 
 # Routing
@@ -508,17 +518,24 @@ def page_route(spark, sf):
     return routing.plan_pages(frame(spark, "profiles")).select("page", "route", "translate_native", "visual_strategy")
 
 
-@query("SELECT * FROM (VALUES (1, 'too_long'), (2, NULL), (3, 'no_text'), (4, 'too_many_ocr_pages'), (5, NULL), (6, NULL)) AS t(id, rejection)")
+@query("""SELECT id, CASE WHEN trim(text) = '' AND ocr_pages = 0 AND NOT has_visual THEN 'no_text'
+ WHEN length(text) > CASE WHEN name LIKE '%.txt' OR name LIKE '%.md' THEN 50000 ELSE 1000000 END THEN 'too_long' WHEN ocr_pages > 50 THEN 'too_many_ocr_pages' END AS rejection FROM @uploads""")
 def doc_admission(spark, sf):
     return frame(spark, "uploads").select("id", routing.rejection("name", "text", "ocr_pages", "has_visual").alias("rejection"))
 
 
-@query("SELECT * FROM (VALUES (1, true, true), (2, false, false), (3, false, false), (4, false, true), (5, false, false), (6, false, false)) AS t(id, reliable, review)")
+HINT_SQL = r"""WITH h AS (SELECT *, trim(coalesce(source_hint, '')) AS v, coalesce(source_confidence, 0) AS c, trim(coalesce(read, '')) AS said FROM @hints),
+o AS (SELECT *, regexp_replace(v, '\s', '', 'g') AS q, regexp_extract_all(v, '[\x{0E01}-\x{0E2E}]') AS own, len(regexp_extract_all(v, '[\x{0E00}-\x{0E7F}]')) AS thai FROM h),
+r AS (SELECT *, c >= 60 AND len(own) >= 2 AND len(list_distinct(own)) >= 2 AND thai / greatest(1, length(q)) >= 0.30
+ AND (regexp_matches(v, '[ะ-ฺเ-๎]') OR len(list_distinct(own)) / greatest(1, len(own)) >= 0.60) AS reliable FROM o)"""
+
+
+@query(HINT_SQL + " SELECT id, reliable, NOT regexp_matches(said, '[\\x{0E00}-\\x{0E7F}]') AND (reliable OR (upper(said) = '[NO_TEXT]' AND c >= 80 AND thai >= 2)) AS review FROM r")
 def hint_reliability(spark, sf):
     return frame(spark, "hints").select("id", routing.hint_is_reliable().alias("reliable"), routing.read_needs_review("read").alias("review"))
 
 
-@query("SELECT * FROM (VALUES (1, false), (2, false), (3, false), (4, true), (5, true), (6, false)) AS t(id, tiny)")
+@query(HINT_SQL + " SELECT id, x1 > x0 AND y1 > y0 AND (greatest(x1 - x0, y1 - y0) <= 36 OR (x1 - x0 <= 28 AND y1 - y0 <= 80)) AND length(q) BETWEEN 1 AND 8 AND thai <= 3 AND regexp_matches(q, '[0-9๐-๙]') AS tiny FROM r")
 def tiny_label(spark, sf):
     return boxed(frame(spark, "hints")).select("id", routing.is_tiny_label(F.col("bbox")).alias("tiny"))
 
@@ -532,11 +549,10 @@ def table_pages(spark, sf):
 # Layout
 
 
-@query("SELECT * FROM (VALUES (1, 'left'), (2, 'center'), (3, 'right'), (4, 'left')) AS t(id, alignment)")
+@query(f"""SELECT id, CASE WHEN id % 3 > 1 OR x1 - x0 >= 48 THEN 'left' WHEN abs((x0 + x1 - 60) / 2) <= 3.6 THEN 'center' WHEN abs(x1 - 60) <= 1.5 THEN 'right' ELSE 'left' END AS alignment FROM ({BOXES})""")
 def alignments(spark, sf):
-    rows = spark.createDataFrame([(1, 2, 0.0, 50.0), (2, 1, 40.0, 62.0), (3, 1, 70.0, 99.0), (4, 1, 0.0, 90.0)], "id int, n int, x0 double, x1 double")
-    box, content = g.box("x0", F.lit(0), "x1", F.lit(10)), g.box(*map(F.lit, (0, 0, 100, 100)))
-    return rows.select("id", layout.alignment(F.col("n"), box, content).alias("alignment"))
+    rows, content = boxed(vector_boxes(spark, sf)), g.box(*map(F.lit, (0, 0, 60, 100)))
+    return rows.select("id", layout.alignment(F.col("id") % 3, F.col("bbox"), content).alias("alignment"))
 
 
 @query("""WITH d AS (SELECT l_orderkey AS grp, l_quantity AS b, abs(l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey)) AS d FROM lineitem)
@@ -572,7 +588,10 @@ def context_lines(spark, sf):
     return layout.context_lines(rows, "conv_id", "turn", "text", "score").select("conv_id", "place", F.md5("text").alias("md5"))
 
 
-@query("SELECT * FROM (VALUES (1, true, false), (2, false, true), (3, true, true), (4, false, false)) AS t(id, credible, confirmed)")
+@query(r"""WITH r AS (SELECT *, regexp_extract_all(t, '[\x{0E01}-\x{0E2E}]') AS own, len(regexp_extract_all(t, '[\x{0E00}-\x{0E7F}]')) / greatest(1, length(regexp_replace(t, '\s', '', 'g'))) AS share
+ FROM (VALUES (1, 'x', 10.0, true, 0.9), (2, 'กขค', 60.0, false, 0.55), (3, 'กขค ผนัง', 80.0, false, 0.9), (4, 'กกก', 90.0, false, 0.9)) AS v(id, t, c, m, s))
+SELECT id, m OR (c >= 72 AND len(own) >= 3 AND len(list_distinct(own)) >= 2 AND len(list_distinct(own)) / greatest(1, len(own)) >= 0.30 AND share >= 0.35 AND length(t) <= 250) AS credible,
+s >= 0.55 AND len(own) >= 3 AND len(list_distinct(own)) >= 2 AS confirmed FROM r""")
 def gap_filters(spark, sf):
     rows = spark.createDataFrame([(1, "x", 10.0, True, 0.9), (2, "กขค", 60.0, False, 0.55), (3, "กขค ผนัง", 80.0, False, 0.9), (4, "กกก", 90.0, False, 0.9)], "id int, t string, c double, m boolean, s double")
     return rows.select("id", layout.gap_is_credible("t", "c", F.col("m")).alias("credible"), layout.reading_is_confirmed("t", "s").alias("confirmed"))
@@ -653,13 +672,15 @@ def tsv_lines(spark, sf):
     return files.ocr_lines(frame(spark, "tsv"), "image").select("image", "source_text", "confidence", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"))
 
 
-@query("SELECT * FROM (VALUES (1, 'R1', 'a', 'b'), (1, 'R2', 'c', '')) AS t(id, item, source_text, translated_text)")
+@query(r"""SELECT id, x.id AS item, coalesce(x.source_text, '') AS source_text, coalesce(x.translated_text, '') AS translated_text FROM
+(SELECT id, unnest(from_json(json_extract(regexp_extract(body, '(?s)(\{.*\})', 1), '$.items'), '[{"id": "VARCHAR", "source_text": "VARCHAR", "translated_text": "VARCHAR"}]')) AS x FROM @bodies)""")
 def json_items(spark, sf):
     rows = frame(spark, "bodies").withColumnRenamed("id", "k")
     return responses.items(rows, "k", "body").select(F.col("k").alias("id"), F.col("id").alias("item"), "source_text", "translated_text")
 
 
-@query("SELECT * FROM (VALUES (2, 's1', 'one'), (2, 's2', '2')) AS t(id, segment, translated_text)")
+@query(r"""SELECT id, k AS segment, json_extract_string(j, '$.' || k) AS translated_text FROM
+(SELECT id, j, unnest(json_keys(j)) AS k FROM (SELECT id, json_extract(regexp_extract(body, '(?s)(\{.*\})', 1), '$.translations') AS j FROM @bodies) WHERE j IS NOT NULL)""")
 def json_translations(spark, sf):
     rows = frame(spark, "bodies").withColumnRenamed("id", "k")
     return responses.translations(rows, "k", "body").select(F.col("k").alias("id"), F.col("id").alias("segment"), "translated_text")
@@ -682,7 +703,8 @@ def id_check(spark, sf):
     return responses.compare_ids(frame(spark, "asked"), frame(spark, "returned"), ["req", "id"])
 
 
-@query("SELECT * FROM (VALUES (1, CAST(5 AS DOUBLE), 'retry'), (2, CAST(4 AS DOUBLE), 'split'), (3, CAST(30 AS DOUBLE), 'fallback'), (4, CAST(30 AS DOUBLE), 'fail'), (5, CAST(0.1 AS DOUBLE), 'retry')) AS t(id, delay, action)")
+@query("""SELECT id, CASE WHEN TRY_CAST(retry_after AS DOUBLE) IS NOT NULL THEN greatest(0.1, least(30, TRY_CAST(retry_after AS DOUBLE))) ELSE least(30, 0.5 * pow(2, attempt)) END::DOUBLE AS delay,
+CASE WHEN status IN (401, 403, 429) THEN 'retry' WHEN status IN (404, 405, 501) THEN 'fallback' WHEN regexp_matches(lower(message), 'timed out|timeout|context length|too large|maximum') THEN 'split' ELSE 'fail' END AS action FROM @retries""")
 def retry_plan(spark, sf):
     return frame(spark, "retries").select("id", history.retry_delay(F.col("retry_after"), F.col("attempt"), 0.5).alias("delay"), responses.retry_action("status", "message").alias("action"))
 
@@ -787,7 +809,7 @@ def history_owner_topn(spark, sf):
     return glossary.newest(mine, "ts", "event_id", limit=30).select("event_id", "ts")
 
 
-@query("SELECT * FROM (VALUES (1, 'completed', 'done', 10, 10), (2, 'failed', 'uploaded', NULL, 0)) AS t(id, status, stage, total_pages, completed_pages)")
+@query("SELECT id, " + ", ".join(f"arg_max({c}, seq) FILTER ({c} IS NOT NULL) AS {c}" for c in ("status", "stage", "total_pages", "completed_pages")) + " FROM @attempts GROUP BY id")
 def attempts_state(spark, sf):
     return history.fold_updates(frame(spark, "attempts"), "id", "seq", ["status", "stage", "total_pages", "completed_pages"])
 
