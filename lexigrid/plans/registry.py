@@ -644,10 +644,10 @@ def repacked_rows(spark, sf):
     return out.select("l_returnflag", "l_orderkey", "l_linenumber", "sheet", "sheet_row")
 
 
-@query("SELECT 1 AS req, '{\"segments\":[{\"id\":\"a\",\"text\":\"x\"},{\"id\":\"b\",\"text\":\"y\"}]}' AS payload")
+@query("""SELECT conv_id, md5('{"segments":[' || string_agg('{"id":"' || turn || '","text":' || CAST(to_json(text) AS VARCHAR) || '}', ',' ORDER BY turn) || ']}') AS payload_md5 FROM conversations GROUP BY conv_id""")
 def request_payloads(spark, sf):
-    rows = spark.createDataFrame([(1, 2, "b", "y"), (1, 1, "a", "x")], "req int, pos int, id string, text string")
-    return layout.request_payload(rows, ["req"], "pos")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.col("turn").cast("string").alias("id"), "text")
+    return layout.request_payload(rows, ["conv_id"], "turn").select("conv_id", F.md5("payload").alias("payload_md5"))
 
 
 @query("SELECT conv_id, CAST(count(*) FILTER (role <> 'user') AS BIGINT) AS completed FROM conversations GROUP BY 1")
@@ -656,10 +656,10 @@ def initial_completed(spark, sf):
     return layout.initial_completed(pages, "conv_id")
 
 
-@query("SELECT * FROM (VALUES (1, CAST(7 AS DOUBLE)), (2, CAST(14 AS DOUBLE)), (3, CAST(3.6 AS DOUBLE)), (4, CAST(2 AS DOUBLE))) AS t(id, size)")
+@query(f"SELECT id, round(greatest(2, least(CASE WHEN id % 5 <= 2 THEN 7 ELSE 14 END, (x1 - x0) / greatest(1, id % 3) * 0.72)), 6)::DOUBLE AS size FROM ({BOXES})")
 def label_sizes(spark, sf):
-    rows = spark.createDataFrame([(1, 40.0, 1, 2), (2, 40.0, 1, 3), (3, 10.0, 2, 9), (4, 1.0, 1, 9)], "id int, cross double, n int, k int")
-    return rows.select("id", F.round(layout.label_font_size(F.col("cross"), F.col("n"), F.col("k")), 6).alias("size"))
+    size = layout.label_font_size(F.expr("x1 - x0"), F.expr("id % 3"), F.expr("id % 5"))
+    return vector_boxes(spark, sf).select("id", F.round(size, 6).alias("size"))
 
 
 # OCR tables and responses
