@@ -13,7 +13,7 @@ from lexigrid.functions.text import collapse, separate_list_items, strip
 BATCH_ITEMS, BATCH_CHARACTERS, BATCH_PAGES = 180, 6000, 5
 
 
-def islands(rows: DataFrame, part: list[str], order: list[str], joined: Column, name: str = "island") -> DataFrame:
+def islands(rows: DataFrame, part: list[str], order: list[str | Column], joined: Column, name: str = "island") -> DataFrame:
     """Number runs of rows: a new run starts where ``joined``, over the row and the columns _prev, is not true."""
     w = Window.partitionBy(*part).orderBy(*order)
     whole = F.struct(*rows.columns)

@@ -310,7 +310,8 @@ def vertical_lists(spark, sf):
 SELECT l_orderkey, l_linenumber, CAST(sum(CASE WHEN l_shipdate >= p THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate ROWS UNBOUNDED PRECEDING) AS INTEGER) AS island FROM l""")
 def lineitem_islands(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    return segments.islands(rows, ["l_orderkey"], ["l_linenumber", "l_shipdate"], F.col("l_shipdate") >= F.col("_prev.l_shipdate")).select("l_orderkey", "l_linenumber", "island")
+    order = [F.col("l_linenumber").asc_nulls_last(), F.col("l_shipdate").asc_nulls_last()]
+    return segments.islands(rows, ["l_orderkey"], order, F.col("l_shipdate") >= F.col("_prev.l_shipdate")).select("l_orderkey", "l_linenumber", "island")
 
 
 @query("SELECT conv_id, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY m) AS INTEGER) AS place FROM (SELECT conv_id, role, min(turn) AS m FROM conversations GROUP BY 1, 2)")

@@ -44,3 +44,20 @@ def test_sequence_similarity_compares_whole_texts(spark, tmp_path):
     whole = [t or "" for t in texts]
     want = {i: (SequenceMatcher(None, t, t[::-1], autojunk=False).ratio(), "".join(c for c in t if "฀" <= c <= "๿")) for i, t in enumerate(whole)}
     assert got == want
+
+
+def test_lineitem_islands_orders_nulls_as_its_sql_does(spark, tmp_path):
+    import datetime as dt
+
+    import duckdb
+
+    day = lambda n: n and dt.datetime(1998, 1, n)
+    lines = [(1, 1, 5), (1, 2, None), (1, 2, 4), (1, 2, 6), (1, None, 7), (1, None, 3), (2, 1, None), (2, 1, 2), (2, 2, 9), (None, 1, 3), (None, None, 4), (None, 2, 2)]
+    # equal lines that start no island; where they start one, the SQL leaves open which of them comes first
+    lines += [(3, 1, 4), (3, 2, 8), (3, 2, 8)]
+    spark.createDataFrame([(k, n, day(d)) for k, n, d in lines], "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(map(repr, c.execute(registry.ORACLES["lineitem_islands"]).fetchall()))
+    got = sorted(repr(tuple(r)) for r in registry.QUERIES["lineitem_islands"](spark, str(tmp_path)).collect())
+    assert got == want
